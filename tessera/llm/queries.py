@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
+from .simhash import fingerprint_hex, near_components
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of each document and the component of its near copies."""
+    found = near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on ten sites or more."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -23,6 +30,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op7_simhash": op7_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
