@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
+from .pieces import token_digests
 from .simhash import fingerprint_hex, near_components
 
 
@@ -22,6 +23,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def piece_model_path() -> str:
+    """Where the public tokenizer's model file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of each document."""
+    return token_digests(table(spark, sf_dir, "documents"), piece_model_path())
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on ten sites or more."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -31,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_simhash": op7_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 
