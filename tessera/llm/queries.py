@@ -9,6 +9,7 @@ from ..sources.tables import table
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .pieces import token_digests
+from .secrets import secret_spans
 from .simhash import fingerprint_hex, near_components
 
 
@@ -35,6 +36,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: counts, digest and spans."""
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on ten sites or more."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -45,6 +51,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 
