@@ -12,6 +12,17 @@ from .mixing import mix_plan
 from .pieces import token_digests
 from .secrets import secret_spans
 from .simhash import fingerprint_hex, near_components
+from .toxicity import fit_toxicity, held_out, score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document, learnt from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels)
+    scored = score_toxicity(docs.select("doc_id", "text"), model, score_col="score")
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_html": op3_html,
     "op7_simhash": op7_simhash,
