@@ -12,6 +12,7 @@ from .mixing import mix_plan
 from .pieces import token_digests
 from .secrets import secret_spans
 from .simhash import fingerprint_hex, near_components
+from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
 
@@ -35,6 +36,13 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences that repeat earlier spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_substrings(docs)
+    return out.select("doc_id", "text", F.col("_units_removed").alias("n_removed"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of each document and the component of its near copies."""
     found = near_components(table(spark, sf_dir, "documents"))
@@ -68,6 +76,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_html": op3_html,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secrets": op9_secrets,
