@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .cover_tree import exact_topk
 from .html_text import extract_pages
+from .learned_partitions import approximate_topk
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .pieces import token_digests
@@ -42,6 +43,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors found for every twentieth vector."""
+    return approximate_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat earlier spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_html": op3_html,
     "op4_exact_topk": op4_exact_topk,
+    "op5_ann": op5_ann,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
