@@ -243,7 +243,7 @@ def approximate_topk(
     hits = (
         left.select(*columns, "id", "v")
         .groupBy(*columns)
-        .cogroup(right.select(*columns, "id", "v").groupBy(*columns))
+        .cogroup(right.select(*(F.col(c).alias(c) for c in (*columns, "id", "v"))).groupBy(*columns))
         .applyInArrow(rerank, "query_id long, vec_id long, score double")
     )
     return ranked(hits, k)
