@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -342,33 +343,31 @@ def _from_broadcast(shared) -> Model:
     return _MODELS[digest]
 
 
-def token_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text."""
+def token_digests(
+    docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, and ``ids`` if asked for."""
     get = _worker_model(docs, model_path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = get()
         for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
+            counts, ids_hash, text_hash, ids = [], [], [], []
             for cell in batch.column(1):
-                text = cell.as_py() or ""
-                joined, decoded = model.encode_text(text)
+                joined, decoded = model.encode_text(cell.as_py() or "")
                 counts.append(joined.count(",") + 1 if joined else 0)
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", docs.schema[id_col].dataType),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
-    )
+                if with_ids:
+                    ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
