@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import vector_queries
+from . import graph_queries, vector_queries
 
-MODULES = (vector_queries,)
+MODULES = (vector_queries, graph_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
