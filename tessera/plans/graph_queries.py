@@ -139,7 +139,7 @@ QUERIES = {
 }
 
 
-def _pagerank_sql(edges: str, iterations: int) -> str:
+def pagerank_sql(edges: str, iterations: int) -> str:
     steps = [
         "e AS (SELECT DISTINCT src, dst FROM " + edges + ")",
         "v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)",
@@ -211,8 +211,8 @@ ORACLE = {
           SELECT CAST(n AS BIGINT) AS node_count, CAST(m AS BIGINT) AS edge_count, round(2.0::DOUBLE * m / n, 2) AS average_degree,
             round(m::DOUBLE / (n * (n - 1)), 4) AS density FROM c""",
     "node_counts": "SELECT 'function' AS node_type, count(*) AS n FROM supplier UNION ALL SELECT 'module', count(*) FROM nation",
-    "pagerank_10it": sql_with("calls") + ", " + _pagerank_sql("calls", 10) + " SELECT node, round(score, 8) AS score FROM p10",
-    "pagerank_top10": sql_with("imports") + ", " + _pagerank_sql("imports", 20)
+    "pagerank_10it": sql_with("calls") + ", " + pagerank_sql("calls", 10) + " SELECT node, round(score, 8) AS score FROM p10",
+    "pagerank_top10": sql_with("imports") + ", " + pagerank_sql("imports", 20)
     + " SELECT node, round(score, 8) AS score FROM p20 ORDER BY round(score, 8) DESC, node LIMIT 10",
     "components": sql_with("calls", recursive=True)
     + """, near AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls),
