@@ -75,9 +75,7 @@ def boilerplate_lines(
     )
     sure = spread.where(F.col("_sites") > min_sites * (1 + margin)).select("_h1", "_h2")
     spread_lines = sure.unionByName(near)
-    first_doc = hits.groupBy("_h1", "_h2").agg(F.min("_d").alias("_d1"))
-    in_first = hits.join(first_doc, ["_h1", "_h2"]).where(F.col("_d") == F.col("_d1"))
-    first = in_first.groupBy("_h1", "_h2").agg(F.min(F.struct("_d", "_t", "_pos")).alias("_at"))
+    first = hits.groupBy("_h1", "_h2").agg(F.min(F.struct("_d", "_t", "_pos")).alias("_at"))
     kept = spread_lines.join(first, ["_h1", "_h2"])
     return hits.join(kept, ["_h1", "_h2"]).select(
         "_d", "_t", "_pos", (F.struct("_d", "_t", "_pos") == F.col("_at")).alias("_first")
