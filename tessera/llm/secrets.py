@@ -59,13 +59,13 @@ def entropy_spans(text: str, window: int, least: float) -> Iterator[tuple[int, i
     total = 0.0
     start = end = -1
     for i, new in enumerate(text):
-        n = counts.get(new, 0)
-        counts[new] = n + 1
-        total += plogp[n + 1] - plogp[n]
         if i >= window:
             n = counts[old := text[i - window]]
             counts[old] = n - 1
             total += plogp[n - 1] - plogp[n]
+        n = counts.get(new, 0)
+        counts[new] = n + 1
+        total += plogp[n + 1] - plogp[n]
         if i >= window - 1 and whole - total / window >= least:
             low = i - window + 1
             if low > end:
