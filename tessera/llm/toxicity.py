@@ -32,7 +32,7 @@ from ..session import cut
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Lengths of the word beginnings that are features.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 #: Words longer than this are known by their beginnings alone.
 LONGEST = 40
 #: Words in a worker's table before it is begun anew.
@@ -156,6 +156,7 @@ def fit_toxicity(
     max_rows: int = 9_000,
     max_features: int = 256,
     min_rows: int = 3,
+    min_strength: float = 2.0,
     ridge: float = 0.2,
     counterfactual: float = 50.0,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
@@ -163,8 +164,8 @@ def fit_toxicity(
     """Fit the classifier on a sample of at most ``max_rows`` labelled rows.
 
     Features are screened by their log-odds ratio over its standard error; the
-    ``max_features`` strongest that stand in ``min_rows`` rows take part, and so do
-    the features of identity terms that the sentences hold.
+    ``max_features`` strongest of at least ``min_strength`` that stand in ``min_rows`` rows
+    take part, and so do the features of identity terms.
     """
     rows = cut(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows))
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
@@ -198,6 +199,7 @@ def fit_toxicity(
     strongest = (
         counted.where(F.col("clean") + F.col("toxic") >= min_rows)
         .select("feature", strength.alias("strength"))
+        .where(F.col("strength") >= min_strength)
         .orderBy(F.desc("strength"), "feature")
         .limit(max_features)
     )
