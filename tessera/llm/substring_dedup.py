@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+from .keys import document_key
+
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
@@ -102,9 +105,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int,
             if size:
                 yield flush()
 
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))).alias("d"), F.col(text_col).alias("text")
-    )
+    keyed = docs.select(document_key(id_col, text_col).alias("d"), F.col(text_col).alias("text"))
     return keyed.mapInArrow(emit, "d long, pos int, h long, again boolean")
 
 
@@ -113,7 +114,8 @@ def repeated_runs(
 ) -> DataFrame:
     """``d, pos``: the runs that are not the first of their kind."""
     runs = _runs(docs, id_col, text_col, run, min_words, max_words)
-    shared = (
+    # a table of its own, so that the join below is a plain one whose hot keys the adaptive skew join can split
+    shared = cut(
         runs.where(~F.col("again"))
         .groupBy("h")
         .agg(F.min("d").alias("first"), F.max("d").alias("last"))
@@ -133,7 +135,7 @@ def dedup_substrings(
     """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``."""
     repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, min_words=min_words, max_words=max_words)
     gone = repeated.groupBy("d").agg(F.collect_set("pos").alias("_gone"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))))
+    keyed = docs.withColumn("_d", document_key(id_col, text_col))
     joined = keyed.join(gone.withColumnRenamed("d", "_d"), "_d", "left").select(*docs.columns, "_gone")
     place = docs.columns.index(text_col)
 
