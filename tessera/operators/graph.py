@@ -173,8 +173,9 @@ def label_propagation(edges: DataFrame, iterations: int = 5) -> DataFrame:
 def local_moves(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """``node, community``: local moving by weight gain, all nodes of a round at once.
 
-    A node moves to the neighbouring community with the most weight to it, if that is
-    more than it has to its own; only towards a smaller name, so that rounds settle.
+    A node's best community is the neighbouring one with the most weight to it, ties to
+    the smaller name, if that is more than it has to its own.  It moves there if that has
+    the smaller name; else it waits for the others to come, so that rounds settle.
     """
     e = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     near = cut(
@@ -192,11 +193,12 @@ def local_moves(edges: DataFrame, rounds: int = 4) -> DataFrame:
         )
         best = (
             own.join(pull, "node")
-            .where((F.col("to") < F.col("community")) & (F.col("w") > F.col("own")))
+            .where(F.col("w") > F.col("own"))
             .groupBy("node")
             .agg(F.min(F.struct((-F.col("w")).alias("w"), "to"))["to"].alias("to"))
         )
-        where = cut(own.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        moved = F.when(F.col("to") < F.col("community"), F.col("to")).otherwise(F.col("community"))
+        where = cut(own.join(best, "node", "left").select("node", moved.alias("community")))
     return where
 
 

@@ -193,8 +193,8 @@ def _moves_sql(rounds: int) -> str:
             f"""pull{i} AS (SELECT near.node, c.community AS dest, sum(weight) AS w FROM near JOIN c{i} c ON near.near = c.node GROUP BY 1, 2),
             own{i} AS (SELECT c.node, c.community, coalesce(p.w, 0) AS own FROM c{i} c LEFT JOIN pull{i} p ON c.node = p.node AND c.community = p.dest),
             best{i} AS (SELECT node, dest FROM (SELECT o.node, p.dest, row_number() OVER (PARTITION BY o.node ORDER BY p.w DESC, p.dest) AS r
-              FROM own{i} o JOIN pull{i} p ON o.node = p.node WHERE p.dest < o.community AND p.w > o.own) WHERE r = 1),
-            c{i + 1} AS (SELECT o.node, coalesce(b.dest, o.community) AS community FROM own{i} o LEFT JOIN best{i} b ON o.node = b.node)"""
+              FROM own{i} o JOIN pull{i} p ON o.node = p.node WHERE p.w > o.own) WHERE r = 1),
+            c{i + 1} AS (SELECT o.node, CASE WHEN b.dest < o.community THEN b.dest ELSE o.community END AS community FROM own{i} o LEFT JOIN best{i} b ON o.node = b.node)"""
         )
     return ",\n".join(steps)
 

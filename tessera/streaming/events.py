@@ -29,14 +29,17 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None =
 
 
 def changed_files(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """Bursts of file changes (``ts, path, kind``) with less than ``gap`` between them, over all files: ``start, end, paths``."""
+    """Bursts of changes (``ts, project, path, kind``) with less than ``gap`` between them, over all files of a project.
+
+    Gives ``project, start, end, paths``.
+    """
     suffix = F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)
     kept = changes.where(F.col("kind").isin("created", "modified") & suffix.isin(*WATCHED))
     return (
         kept.withWatermark("ts", late)
-        .groupBy(F.session_window("ts", gap).alias("w"))
+        .groupBy("project", F.session_window("ts", gap).alias("w"))
         .agg(F.array_sort(F.collect_set("path")).alias("paths"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths")
+        .select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths")
     )
 
 
