@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .keys import document_key
 
 #: Characters around a line that do not tell it from another.
 BLANKS = " \t\r"
 
 
 def _document_keys(id_col: str, text_col: str) -> dict[str, Column]:
-    return {"_t": F.xxhash64(F.col(text_col)), "_d": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))}
+    return {"_t": F.xxhash64(F.col(text_col)), "_d": document_key(id_col, text_col)}
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -76,7 +77,8 @@ def boilerplate_lines(
     sure = spread.where(F.col("_sites") > min_sites * (1 + margin)).select("_h1", "_h2")
     spread_lines = sure.unionByName(near)
     first = hits.groupBy("_h1", "_h2").agg(F.min(F.struct("_d", "_t", "_pos")).alias("_at"))
-    kept = spread_lines.join(first, ["_h1", "_h2"])
+    # a table of its own, so that the join below is a plain one whose hot keys the adaptive skew join can split
+    kept = cut(spread_lines.join(first, ["_h1", "_h2"]))
     return hits.join(kept, ["_h1", "_h2"]).select(
         "_d", "_t", "_pos", (F.struct("_d", "_t", "_pos") == F.col("_at")).alias("_first")
     )
