@@ -306,7 +306,7 @@ _QUALITY = r"""q AS (SELECT source || '/' || doc_id AS path, lang AS language, C
         list_filter([CASE WHEN n_chars > 10000 THEN 'long' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda w: w IS NOT NULL) AS warnings,
         NOT regexp_matches(text, '[0-9]') AS pure FROM documents)"""
 _STATS = "count(*) AS files, " + ", ".join(
-    f"round(avg({m}), 2) AS avg_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}" for m in ("cyclomatic", "cognitive", "max_nesting")
+    f"CAST(round(CAST(avg({m}) AS DECIMAL(18, 8)), 2) AS DOUBLE) AS avg_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}" for m in ("cyclomatic", "cognitive", "max_nesting")
 ) + ", count(*) FILTER (len(warnings) > 0) AS with_warnings, count(*) FILTER (NOT pure) AS impure"
 _SCORE = """CAST(greatest(0, least(100, round(greatest(0, 100 - 5 * avg_cyclomatic) - least(20.0, greatest(0, 2.0 * (max_cyclomatic - 15)))
         - least(15.0, greatest(0, avg_cognitive - 10))))) AS INTEGER) AS score"""
@@ -331,7 +331,7 @@ ORACLE = {
     "unused_modules": sql_with("imports") + " " + _UNUSED,
     "dead_code": sql_with("functions", "calls") + ", " + _DEAD + " SELECT * FROM dead",
     "removal_suggestions": sql_with("functions", "calls") + ", " + _DEAD
-    + """, g AS (SELECT module, count(*) AS n, round(avg(confidence), 4) AS confidence, count(*) FILTER (confidence > 0.8) AS high,
+    + """, g AS (SELECT module, count(*) AS n, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS confidence, count(*) FILTER (confidence > 0.8) AS high,
           count(*) FILTER (confidence > 0.5 AND confidence <= 0.8) AS medium, count(*) FILTER (confidence <= 0.5) AS low FROM dead
           WHERE confidence >= CASE WHEN visibility = 'private' THEN 0.7 ELSE 0.5 END GROUP BY module)
         SELECT module, CASE WHEN n > 1 THEN 'review_function' WHEN high > 0 THEN 'remove_function' WHEN medium > 0 THEN 'review_function' ELSE 'potential_callback' END AS kind,
@@ -397,7 +397,7 @@ ORACLE = {
     "semantic_operations": """WITH o AS (SELECT CASE event_type WHEN 'signup' THEN 'auth' WHEN 'view' THEN 'cache' WHEN 'purchase' THEN 'db' WHEN 'click' THEN 'http' END AS domain FROM events)
         SELECT d.domain, count(o.domain) AS n FROM (SELECT unnest(['auth', 'cache', 'db', 'external_api', 'file', 'http', 'queue']) AS domain) d LEFT JOIN o USING (domain) GROUP BY d.domain""",
     "suggestion_rank": _SUGGEST + " SELECT * FROM r",
-    "suggestion_stats": _SUGGEST + " SELECT priority, count(*) AS n, round(avg(priority_score), 3) AS avg_score, round(avg(roi), 3) AS avg_roi FROM r GROUP BY priority",
+    "suggestion_stats": _SUGGEST + " SELECT priority, count(*) AS n, CAST(round(CAST(avg(priority_score) AS DECIMAL(18, 8)), 3) AS DOUBLE) AS avg_score, CAST(round(CAST(avg(roi) AS DECIMAL(18, 8)), 3) AS DOUBLE) AS avg_roi FROM r GROUP BY priority",
     "state_machines": "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS states, count(DISTINCT event_type) AS n FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 3",
     "stale_entities": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality <> 1",
     "upsert_orders": "SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1",

@@ -212,7 +212,7 @@ def _metrics_sql(name: str, dims: int) -> str:
       f{name} AS (SELECT q, sum(CASE WHEN hit THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg, min(rank) FILTER (hit) AS first, count(*) FILTER (hit) AS hits FROM r{name} GROUP BY q),
       m{name} AS (SELECT round(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 1 + least(10, n)) t(i)), 6) AS ndcg, coalesce(1.0::DOUBLE / first, 0) AS mrr,
         hits / 10.0::DOUBLE AS precision, hits / n::DOUBLE AS recall FROM f{name} JOIN (SELECT x.vec_id AS q, count(*) AS n FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id GROUP BY 1) USING (q)),
-      a{name} AS (SELECT round(avg(ndcg), 4) AS ndcg, round(avg(mrr), 4) AS mrr, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall FROM m{name})"""
+      a{name} AS (SELECT CAST(round(CAST(avg(ndcg) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS ndcg, CAST(round(CAST(avg(mrr) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS mrr, CAST(round(CAST(avg(precision) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS precision, CAST(round(CAST(avg(recall) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS recall FROM m{name})"""
 
 
 def _list(values) -> str:
@@ -245,7 +245,7 @@ ORACLE = {
     "knn_batch": f"""WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {_COS.format(a='x.embedding', b='y.embedding')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)
         SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p) WHERE rank <= 5""",
     "similar_pairs": f"WITH {_PAIRS} SELECT id1, id2, score FROM pairs WHERE score >= 0.3",
-    "similar_summary": f"""WITH {_PAIRS} SELECT CASE WHEN score >= 0.4 THEN 'type_iii' ELSE 'type_iv' END AS kind, a = b AS same_label, count(*) AS n, round(avg(score), 4) AS mean_score
+    "similar_summary": f"""WITH {_PAIRS} SELECT CASE WHEN score >= 0.4 THEN 'type_iii' ELSE 'type_iv' END AS kind, a = b AS same_label, count(*) AS n, CAST(round(CAST(avg(score) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS mean_score
         FROM pairs WHERE score >= 0.3 GROUP BY 1, 2""",
     "semantic_first": f"""WITH q AS (SELECT embedding AS probe FROM embeddings WHERE vec_id = 0),
         h AS (SELECT vec_id, {_COS.format(a='embedding', b='probe')} AS score,

@@ -129,7 +129,7 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by type in hours sliding by half an hour, from a stream of the events."""
     out = streams.finished(streams.sliding_usage(streams.event_stream(spark, sf_dir), "1 hour", "30 minutes"))
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return out.select(_seconds(F.col("start").cast("timestamp_ntz")).alias("start"), "event_type", "n")
 
 
 QUERIES = {
