@@ -30,10 +30,10 @@ def _document_keys(id_col: str, text_col: str) -> dict[str, Column]:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row for each line that is not blank: document key, place, site and 128 bits of hash."""
-    keyed = docs.select(F.col(text_col), F.col(site_col).cast("string").alias("_site"), F.col(id_col)).withColumns(
-        _document_keys(id_col, text_col)
+    keys = [c.alias(n) for n, c in _document_keys(id_col, text_col).items()]
+    lines = docs.select(
+        *keys, F.col(site_col).cast("string").alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")
     )
-    lines = keyed.select("_d", "_t", "_site", F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line"))
     line = F.btrim(F.col("_line"), F.lit(BLANKS))
     return lines.where(line != "").select(
         "_d",
@@ -111,12 +111,14 @@ def dedup_lines(
         .groupBy("_d", "_t")
         .agg(F.array_sort(F.collect_list("_pos")).alias("_gone"))
     )
-    keyed = docs.withColumns(_document_keys(id_col, text_col))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of the documents meets one of the keys
+    keyed = docs.select(whole, *[c.alias(n) for n, c in _document_keys(id_col, text_col).items()])
     joined = keyed.join(gone, ["_d", "_t"], "left")
+    old = F.col("_doc")[text_col]
     text = F.when(
-        F.col("_gone").isNotNull(), F.array_join(_without(F.split(text_col, "\n"), F.col("_gone")), "\n")
-    ).otherwise(F.col(text_col))
+        F.col("_gone").isNotNull(), F.array_join(_without(F.split(old, "\n"), F.col("_gone")), "\n")
+    ).otherwise(old)
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[(text if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns if c != "_lines_removed"],
         F.coalesce(F.size("_gone"), F.lit(0)).alias("_lines_removed"),
     )

@@ -22,25 +22,21 @@ from ..session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
-_PRIVATE = ("_id", "_size", "_null", "_src", "_key", "_range")
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, range_digits: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, range_digits: int, *carried: Column) -> DataFrame:
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return docs.withColumns(
-        {
-            "_id": F.col(id_col),
-            "_size": word_count(F.col(text_col)),
-            "_null": F.col(source_col).isNull(),
-            "_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "_key": F.left(key, F.lit(16)),
-            "_range": F.left(key, F.lit(range_digits)),
-        }
+    return docs.select(
+        *carried,
+        F.col(id_col).alias("_id"),
+        word_count(F.col(text_col)).alias("_size"),
+        F.col(source_col).isNull().alias("_null"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"),
+        F.left(key, F.lit(16)).alias("_key"),
+        F.left(key, F.lit(range_digits)).alias("_range"),
     )
 
 
@@ -117,9 +113,7 @@ def mix_plan(
     ``range_digits`` hexadecimal digits of the key name a range: 3 give 4096 ranges
     a source; a corpus whose largest source has over 10^10 documents takes 4.
     """
-    keyed = cut(
-        _keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed, range_digits).select(*_PRIVATE)
-    )
+    keyed = cut(_keyed(docs, id_col, text_col, source_col, seed, range_digits))
     plan = _planned(keyed, share, max_epochs, weights)
     return plan.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken")
@@ -149,12 +143,14 @@ def mix_documents(
     A document that its source's budget cuts keeps its first words; one that is
     not taken goes; a document without words goes too, as no budget takes it.
     """
-    keyed = _keyed(docs, id_col, text_col, source_col, seed, range_digits)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of the documents meets one of the plan
+    keyed = _keyed(docs, id_col, text_col, source_col, seed, range_digits, whole)
     plan = _planned(keyed, share, max_epochs, weights).where(F.col("_taken") > 0)
     again = plan.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size"))
-    text = F.when(words < F.col("_size"), first_words(F.col(text_col), words)).otherwise(F.col(text_col))
-    cut_text = again.withColumn(text_col, text)
+    old = F.col("_doc")[text_col]
+    out = again.select("_doc", F.when(words < F.col("_size"), first_words(old, words)).otherwise(old).alias("_text"))
+    new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        cut_text = cut_text.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return cut_text.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

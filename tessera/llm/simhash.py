@@ -19,6 +19,7 @@ repeat a ``doc_id`` each get a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -227,8 +228,10 @@ def dedup_documents(
     found = near_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    rest = [c for c in docs.columns if c != id_col]
-    one = named.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias("_row"))
+    rest = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
+    ordered = [c for c in rest if not re.search("map|variant", docs.schema[c].dataType.simpleString())]
+    first = F.min(F.struct(*rest)) if ordered == rest else F.min_by(F.struct(*rest), F.struct(*ordered))
+    one = named.groupBy(id_col).agg(first.alias("_row"))
     one = one.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns])
     return one.unionByName(docs.where(F.col(id_col).isNull()))
 

@@ -135,9 +135,11 @@ def dedup_substrings(
     """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``."""
     repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, min_words=min_words, max_words=max_words)
     gone = repeated.groupBy("d").agg(F.collect_set("pos").alias("_gone"))
-    keyed = docs.withColumn("_d", document_key(id_col, text_col))
-    joined = keyed.join(gone.withColumnRenamed("d", "_d"), "_d", "left").select(*docs.columns, "_gone")
-    place = docs.columns.index(text_col)
+    columns = [c for c in docs.columns if c != "_units_removed"]
+    numbered = [f"c{i}" for i in range(len(columns))]  # no column of the documents meets one of the keys
+    keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, numbered, strict=True)], document_key(id_col, text_col).alias("_d"))
+    joined = keyed.join(gone.withColumnRenamed("d", "_d"), "_d", "left").select(*numbered, "_gone")
+    place = columns.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,10 +157,8 @@ def dedup_substrings(
                     keep[i : i + run] = False
                 texts.append("".join(text[a:b] for (a, b, _), k in zip(found, keep.tolist(), strict=True) if k).rstrip())
                 n_gone.append(int((~keep).sum()))
-            columns = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_gone, pa.int64())], [*batch.schema.names[:-1], "_units_removed"]
-            )
+            carried = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(n_gone, pa.int64())], [*columns, "_units_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_units_removed", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("_units_removed", T.LongType())])
     return joined.mapInArrow(rebuild, schema)

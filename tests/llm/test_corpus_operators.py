@@ -59,10 +59,10 @@ def test_mixing_targets_and_cuts(spark):
 def test_mixed_documents_take_what_the_plan_says(spark):
     rng = random.Random(5)
     rows = [(i, " \t".join(f"w{k}" for k in range(rng.randint(0, 20))), rng.choice("abc")) for i in range(120)]
-    docs = docs_of(spark, rows).withColumn("_size", F.lit("clash"))
+    docs = docs_of(spark, rows).withColumns({"_size": F.lit("clash"), "_doc": F.lit(1), "_src": F.lit(None).cast("int")})
     plan = {r.doc_id: r.taken for r in mixing.mix_plan(docs_of(spark, rows)).collect()}
-    out = mixing.mix_documents(docs_of(spark, rows))
-    assert out.columns == docs_of(spark, rows).columns
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and {r._size for r in out.collect()} == {"clash"}
     got, text = {}, {i: t for i, t, _ in rows}
     for r in out.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
@@ -126,6 +126,8 @@ def test_near_components_against_brute_force(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, set(want.values())), "None"])
     assert simhash.near_components(docs.where("false")).count() == 0
+    odd = docs.withColumns({"m": F.create_map(F.lit("a"), F.lit(1)), "fp": F.lit(1), "component_id": F.lit(2)})
+    assert sorted(r.doc_id for r in simhash.dedup_documents(odd).collect()) == sorted(set(want.values()))
 
 
 def test_bk_tree_and_resharding_find_every_link():

@@ -93,9 +93,16 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_line_dedup_empty_and_clashing_columns(spark):
-    docs = docs_of(spark, []).selectExpr("*", "1 as _h1", "2 as _gone2")
-    out = line_dedup.dedup_lines(docs)
-    assert out.count() == 0 and out.columns == [*docs.columns, "_lines_removed"]
+    extra = ["1 as _h1", "2 as _gone", "3 as _d", "4 as _doc"]
+    none = docs_of(spark, []).selectExpr("*", *extra)
+    out = line_dedup.dedup_lines(none)
+    assert out.count() == 0 and out.columns == [*none.columns, "_lines_removed"]
+    some = docs_of(spark, [(i, f"shared\n{i}", f"s{i}") for i in range(12)]).selectExpr("*", *extra)
+    rows = line_dedup.dedup_lines(some).collect()
+    assert {r.text for r in rows} == {"shared\n0"} | {str(i) for i in range(1, 12)}
+    assert {(r._h1, r._gone, r._d, r._doc) for r in rows} == {(1, 2, 3, 4)}
+    sub = substring_dedup.dedup_substrings(some.selectExpr("*", "5 as h", "6 as c0")).collect()
+    assert {(r._gone, r._d, r.h, r.c0) for r in sub} == {(2, 3, 5, 6)}
 
 
 def test_line_dedup_near_threshold_is_exact(spark):
@@ -257,6 +264,7 @@ def test_token_spans_give_back_the_source(spark, model):
         source = text.encode()
         spans = model.spans(text)
         assert b"".join(source[a:b] for _, a, b in spans) == source
+        assert model.encode_text(text)[2] == ",".join(str(b - a) for _, a, b in spans)
         assert model.decode([i for i, *_ in spans]) == text.replace("▁", " ")
     docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pieces.tokenised(docs, queries.piece_model_path()).collect()}
