@@ -149,6 +149,7 @@ class Model:
                         self.squeeze = bool(v)
                     elif n == 5:
                         self.escape = bool(v)
+        self.sizes = [1 if i in self.byte_of else len(p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
         self.map = CharacterMap(charsmap)
         if model_type != 2 or not byte_fallback or len(self.byte_ids) != 256:
             raise ValueError("a BPE model with byte fallback is needed")
@@ -191,9 +192,12 @@ class Model:
             out += mark
             source_at += [chunks[0][1]] * len(mark)
         for piece, where in chunks:
-            piece = piece.replace(b" ", mark)
+            if b" " not in piece and source.startswith(piece, where):
+                source_at += range(where, where + len(piece))  # as it stands: byte by byte
+            else:
+                piece = piece.replace(b" ", mark)
+                source_at += [where] * len(piece)
             out += piece
-            source_at += [where] * len(piece)
         return bytes(out), [*source_at, len(source)]
 
     def _segment_list(self, text: str) -> list[str]:
@@ -205,23 +209,37 @@ class Model:
             normal = self.normalise(text)[0].decode()
         return _SEGMENT.findall(normal)
 
-    def encode_text(self, text: str) -> tuple[str, str]:
-        """The ids of a text, in decimal, joined by commas; and what they decode to."""
+    def encode_text(self, text: str) -> tuple[str, str, str]:
+        """The ids of a text, what they decode to, and how many source bytes each piece stands for.
+
+        Ids and byte counts are decimal, joined by commas.  As the pieces' spans lie side by
+        side, the counts say where each begins and ends.
+        """
         table = self.segments
         found = [table[s] for s in self._segment_list(text)]
-        whole = "".join([f[1] for f in found])
-        return ",".join([f[0] for f in found]), whole[1:] if self.dummy_prefix and whole.startswith(" ") else whole
+        ids, whole = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
+        if self.map.units or self.squeeze or not self.escape or MARK in text:
+            sizes = ",".join(str(end - begin) for _, begin, end in self._projected(text, ids))
+        elif found and self.dummy_prefix:  # the first mark has no source
+            first, comma, rest = found[0][2].partition(",")
+            sizes = ",".join([f"{int(first) - 1}{comma}{rest}", *[f[2] for f in found[1:]]])
+        else:
+            sizes = ",".join([f[2] for f in found])
+        return ids, whole[1:] if self.dummy_prefix and whole.startswith(" ") else whole, sizes
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        joined, _ = self.encode_text(text)
+        joined = self.encode_text(text)[0]
         return [int(i) for i in joined.split(",")] if joined else []
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Each piece's id and the source bytes it stands for, begin and end."""
+        return self._projected(text, self.encode_text(text)[0])
+
+    def _projected(self, text: str, ids: str) -> list[tuple[int, int, int]]:
         normal, source_at = self.normalise(text)
         out, at = [], 0
-        for i in self.encode(text):
+        for i in map(int, ids.split(",") if ids else ()):
             size = 1 if i in self.byte_of else len(self.pieces[i].encode())
             out.append((i, source_at[at], source_at[at + size]))
             at += size
@@ -301,19 +319,19 @@ _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class _Segments(dict):
-    """Ids, as text, and decoded text of a segment.
+    """Ids of a segment, as text, what they decode to, and the bytes of each piece, a mark counted as one.
 
     Filled on demand; a full table becomes the old one, from which what is still in use is taken over.
     """
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.old: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str, str]] = {}
 
-    def __missing__(self, segment: str) -> tuple[str, str]:
+    def __missing__(self, segment: str) -> tuple[str, str, str]:
         if (value := self.old.get(segment)) is None:
             ids = self.model.segment_ids(segment)
-            value = ",".join(map(str, ids)), self.model.text_of(ids)
+            value = ",".join(map(str, ids)), self.model.text_of(ids), ",".join([str(self.model.sizes[i]) for i in ids])
         if len(segment) <= 64:
             if len(self) >= KEPT:
                 self.old = dict(self)
@@ -346,27 +364,31 @@ def _from_broadcast(shared) -> Model:
 def token_digests(
     docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, and ``ids`` if asked for."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, sizes_sha256`` of every whole text, and ``ids`` if asked for.
+
+    ``sizes_sha256`` is the digest of the number of source bytes that each piece stands for.
+    """
     get = _worker_model(docs, model_path)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "sizes_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = get()
         for batch in batches:
-            counts, ids_hash, text_hash, ids = [], [], [], []
+            counts, ids_hash, text_hash, size_hash, ids = [], [], [], [], []
             for cell in batch.column(1):
-                joined, decoded = model.encode_text(cell.as_py() or "")
+                joined, decoded, sizes = model.encode_text(cell.as_py() or "")
                 counts.append(joined.count(",") + 1 if joined else 0)
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
+                size_hash.append(hashlib.sha256(sizes.encode()).hexdigest())
                 if with_ids:
                     ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in (ids_hash, text_hash, size_hash))]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
+    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
