@@ -129,10 +129,39 @@ def repeated_runs(
     )
 
 
+def covered(words: list[int], starts: list[int], run: int, min_span_words: int) -> list[bool]:
+    """Which units go: those in stretches of repeated runs that hold ``min_span_words`` words, or the whole text."""
+    gone = [False] * len(words)
+    for i in starts:
+        gone[i : i + run] = [True] * len(gone[i : i + run])
+    if all(gone):
+        return gone
+    at = 0
+    while at < len(gone):
+        end = at
+        while end < len(gone) and gone[end]:
+            end += 1
+        if end > at and sum(words[at:end]) < min_span_words:
+            gone[at:end] = [False] * (end - at)
+        at = end + 1
+    return gone
+
+
 def dedup_substrings(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 6, max_words: int = 16
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    run: int = 3,
+    min_words: int = 6,
+    max_words: int = 16,
+    min_span_words: int = 25,
 ) -> DataFrame:
-    """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``."""
+    """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``.
+
+    A stretch of repeated runs with fewer than ``min_span_words`` words, such as a short
+    line that many texts share, stays, unless it is the whole text.
+    """
     repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, min_words=min_words, max_words=max_words)
     gone = repeated.groupBy("d").agg(F.collect_set("pos").alias("_gone"))
     columns = [c for c in docs.columns if c != "_units_removed"]
@@ -152,11 +181,10 @@ def dedup_substrings(
                     n_gone.append(0)
                     continue
                 found = list(units(text, max_words))
-                keep = np.ones(len(found), bool)
-                for i in starts:
-                    keep[i : i + run] = False
-                texts.append("".join(text[a:b] for (a, b, _), k in zip(found, keep.tolist(), strict=True) if k).rstrip())
-                n_gone.append(int((~keep).sum()))
+                gone_units = covered([len(w) for _, _, w in found], starts, run, min_span_words)
+                kept = "".join(text[a:b] for (a, b, _), g in zip(found, gone_units, strict=True) if not g)
+                texts.append(kept.rstrip() if any(gone_units) else text)
+                n_gone.append(sum(gone_units))
             carried = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*carried, pa.array(n_gone, pa.int64())], [*columns, "_units_removed"])
 

@@ -114,7 +114,7 @@ def test_line_dedup_near_threshold_is_exact(spark):
 # --- substring dedup ------------------------------------------------------------------------------------------------
 
 
-def brute_substrings(rows, run=3, min_words=6):
+def brute_substrings(rows, run=3, min_words=6, span=25):
     runs, found = {}, {}
     for i, t, _ in sorted(rows):
         found[i] = list(substring_dedup.units(t or ""))
@@ -127,7 +127,19 @@ def brute_substrings(rows, run=3, min_words=6):
     for places in runs.values():
         for i, p, width in sorted(places)[1:]:
             gone.setdefault(i, set()).update(range(p, p + width))
-    return {i: "".join(t[a:b] for k, (a, b, _) in enumerate(found[i]) if k not in gone[i]).rstrip() if i in gone else t for i, t, _ in rows}
+    out = {}
+    for i, t, _ in rows:
+        g = gone.get(i, set())
+        for p in sorted(g):  # the stretch that a unit is in
+            low, high = p, p
+            while low - 1 in gone[i]:
+                low -= 1
+            while high + 1 in gone[i]:
+                high += 1
+            if sum(len(w) for _, _, w in found[i][low : high + 1]) < span and high - low + 1 < len(found[i]):
+                g = g - {p}
+        out[i] = "".join(t[a:b] for k, (a, b, _) in enumerate(found[i]) if k not in g).rstrip() if g else t
+    return out
 
 
 def test_substring_dedup_against_brute_force(spark):
@@ -135,10 +147,12 @@ def test_substring_dedup_against_brute_force(spark):
     rows = [(i, f"Start of story {i} is here. More of the story {i}. {passage} And so it ends {i}.", "s") for i in range(4)]
     rows += [(10, None, "s"), (11, "", "s"), (12, "One two three four five six seven.", "s"), (13, "One two  THREE four five six seven.", "s"), (14, "a. b. c.", "s"), (15, "a. b. c.", "s")]
     rows += [(16, "Same sentence again and again. " * 8, "s")]
+    short = "A short line. It is shared. By many of the texts here."
+    rows += [(20 + i, f"Text {i} begins in its own way. {short} And text {i} ends otherwise.", "s") for i in range(3)]
     out = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect()}
     assert out == brute_substrings(rows)
     assert passage in out[0] and "Nobody came" not in out[1] and "word word" not in out[3] and "it ends 3" in out[3]
-    assert out[13] == "" and out[15] == "a. b. c."
+    assert out[13] == "" and out[15] == "a. b. c." and short in out[22]
 
 
 def test_substring_dedup_ids_and_empty(spark):
