@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import mix_documents
+from tessera.llm.near_copies import dedup_near_copies
 from tessera.llm.pieces import token_digests
 from tessera.llm.queries import piece_model_path
-from tessera.llm.simhash import dedup_documents
 from tessera.llm.toxicity import reject_toxic
 from tessera.session import cut
 from tessera.sources.tables import table
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return dedup_documents(docs)
+    """One document of each group of near copies: five-word shingles of a Jaccard similarity of 0.8 or more."""
+    return dedup_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

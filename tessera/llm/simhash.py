@@ -225,7 +225,11 @@ def dedup_documents(
     Rows that repeat a ``doc_id`` are one document and keep one row, the first by
     its text; rows without a ``doc_id`` cannot be named as copies and stay.
     """
-    found = near_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
+    return keep_named(docs, near_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), id_col, text_col)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents that name a component of ``found``, one row each, and the rows without an id."""
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
     rest = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]

@@ -71,6 +71,50 @@ def test_mixed_documents_take_what_the_plan_says(spark):
     assert mixing.mix_documents(docs_of(spark, [])).count() == 0 and mixing.mix_plan(docs_of(spark, [])).count() == 0
 
 
+# --- near copies of the pipeline -------------------------------------------------------------------------------------
+
+
+def test_pipeline_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randint(0, 3000)}" for _ in range(rng.choice([12, 60, 150, 400]))]
+        for k in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 50))):
+                words[rng.randrange(len(words))] = f"new{g}x{k}"
+            if k % 3 == 1:
+                words.insert(rng.randrange(len(words)), words.pop(rng.randrange(len(words))))
+            rows.append((g * 100 + k, " ".join(words), "s"))
+    # a chain: each text only near the one before it, all in the same bucket again and again
+    chain = [f"c{i}" for i in range(200)]
+    rows += [(5000 + k, " ".join(chain[10 * k :] + [f"d{i}" for i in range(10 * k)]), "s") for k in range(12)]
+    rows += [(6000, None, "s"), (6001, "", "s"), (6002, "One two", "s"), (6003, "one  TWO", "s")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t, _ in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in sets if root(i) == i}
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs_of(spark, rows + [(None, "one two", "s")]), "")
+    got = [r.doc_id for r in out.collect()]
+    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+    assert want < {r.doc_id for r in simhash.dedup_documents(docs_of(spark, rows)).collect()}
+
+
 # --- SimHash --------------------------------------------------------------------------------------------------------
 
 
