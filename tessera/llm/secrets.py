@@ -38,7 +38,7 @@ _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+\Z")
 _ALNUM_ONLY = re.compile(r"[0-9A-Za-z]+\Z")
 #: Strings that look random and are not secret: UUIDs, dates and times, digits, words joined by dashes, known examples.
 ALLOWED = re.compile(
-    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z|[0-9T:+/_=-]+\Z|[A-Za-z]+([-_/=+]+[A-Za-z]*)*\Z"
+    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z|[0-9T:+/_=-]+\Z|[A-Za-z][A-Za-z_/=+-]*\Z"
     r"|[a-z]+([-_/][a-z]+|[-_/][0-9]{1,4})*\Z|.*(?:EXAMPLE|example|0123456789|abcdefghij)"
 )
 

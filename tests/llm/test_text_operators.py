@@ -247,6 +247,17 @@ def test_entropy_windows_by_brute_force():
     assert secrets.scan("key Q7x9Zk2Lp4Wm8Rt3Vb6N5c1D")[1]
 
 
+def test_allow_list_takes_long_leaders():
+    import subprocess
+    import sys
+
+    code = "from tessera.llm.secrets import scan; print(scan('Chapter' + '_' * 1000 + '12 ' + 'a-' * 1000 + '7'))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=20)
+    assert done.stdout.strip() == "([], [])", done.stderr
+    words = ["", "a", "A-", "a--b", "-a", "a_b/c=+", "ab", "a-1", "=", "a b"]
+    assert [bool(secrets.ALLOWED.match(w)) for w in words] == [False, True, True, True, False, True, True, True, True, False]
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 TOKEN_TEXTS = [
