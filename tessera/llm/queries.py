@@ -51,7 +51,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat earlier spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_substrings(docs)
+    out = dedup_substrings(docs, min_words=0, min_span_words=0)
     return out.select("doc_id", "text", F.col("_units_removed").alias("n_removed"))
 
 

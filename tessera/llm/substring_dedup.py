@@ -160,7 +160,8 @@ def dedup_substrings(
     """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``.
 
     A stretch of repeated runs with fewer than ``min_span_words`` words, such as a short
-    line that many texts share, stays, unless it is the whole text.
+    line that many texts share, stays, unless it is the whole text.  With ``min_words`` and
+    ``min_span_words`` of 0, as in the registered query, every repeated run goes.
     """
     repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, min_words=min_words, max_words=max_words)
     gone = repeated.groupBy("d").agg(F.collect_set("pos").alias("_gone"))

@@ -163,6 +163,18 @@ def test_substring_dedup_ids_and_empty(spark):
     assert substring_dedup.dedup_substrings(docs_of(spark, [])).count() == 0
 
 
+def test_registered_substring_dedup_takes_every_repeated_run(spark, tmp_path):
+    line = "A short line. It is shared. By many of the texts here."
+    brief = "Yes. No! Perhaps so."
+    rows = [(i, f"Text {i} begins in its own way. {part} And text {i} ends otherwise.", "s") for i, part in enumerate([line, brief, line, brief])]
+    rows += [(4, "a. b. c.", "s"), (5, "a. b. c.", "s"), (6, "one", "s"), (7, "one", "s")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.text for r in queries.op6_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [out[i] for i in (0, 1, 4, 6)] == [rows[i][1] for i in (0, 1, 4, 6)]
+    assert out[2] == "Text 2 begins in its own way. And text 2 ends otherwise."
+    assert out[3] == "Text 3 begins in its own way. And text 3 ends otherwise." and out[5] == out[7] == ""
+
+
 def test_units_lie_side_by_side():
     for text in ("", "  ", "A b. C d!\n\nE " + "f " * 50 + "? ", "\n\nx.y z", "é ß. ü"):
         found = list(substring_dedup.units(text))
