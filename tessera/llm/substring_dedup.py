@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and a sentence longer than ``max_words`` into equal
-steps from its start, so that a passage gives the same units wherever it stands.
+A text is cut into sentences, and a sentence longer than ``max_words`` at places that
+the words around them choose, so that a passage gives the same units wherever it stands;
+what lies more than ``max_words`` apart is cut in steps from the place before.
 Every run of ``run`` consecutive units of at least ``min_words`` words is hashed; runs
 are joined on the hash over all documents, and units covered by any repeated span that
 is not the first one go.  The first span is the one in the document with the smallest
@@ -19,6 +20,7 @@ has 64 bits: among n different runs about n^2 / 2^65 pairs are taken for equal.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,22 @@ _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+#: A sentence is cut between two words whose hash is the least among those of so many gaps on either side.
+_NEAR = 3
+
+
+def _ends(words: list[str], max_words: int) -> Iterator[int]:
+    """Where the units of a long sentence end, counted in words."""
+    gaps = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)]
+    last = 0
+    for i in range(_NEAR, len(gaps) - _NEAR):
+        if gaps[i] < min(gaps[i - _NEAR : i]) and gaps[i] <= min(gaps[i + 1 : i + _NEAR + 1]):
+            yield from range(last + max_words, i + 1, max_words)
+            yield (last := i + 1)
+    yield from range(last + max_words, len(words), max_words)
+    yield len(words)
+
+
 def units(text: str, max_words: int = 16) -> Iterator[tuple[int, int, list[str]]]:
     """Begin, end and lower-case words of each unit; the units lie side by side."""
     start = 0
@@ -49,11 +67,11 @@ def units(text: str, max_words: int = 16) -> Iterator[tuple[int, int, list[str]]
         else:
             at = start
             pieces = [start + m.end() for m in _WORD.finditer(text[start:end])]
-            for first in range(0, len(words), max_words):
-                last = min(first + max_words, len(words))
+            first = 0
+            for last in _ends(words, max_words):
                 stop = end if last == len(words) else pieces[last - 1]
                 yield at, stop, words[first:last]
-                at = stop
+                at, first = stop, last
         start = end
 
 

@@ -175,6 +175,16 @@ def test_registered_substring_dedup_takes_every_repeated_run(spark, tmp_path):
     assert out[3] == "Text 3 begins in its own way. And text 3 ends otherwise." and out[5] == out[7] == ""
 
 
+def test_passages_inside_long_sentences_fall_in_step(spark):
+    words = [f"p{i * 7919 % 1009}" for i in range(120)]
+    edited = [*words[:60], "inserted", *words[60:]]
+    rows = [(i, f"{lead} {' '.join(body)} tail{i} of text{i}.", "s") for i, (lead, body) in enumerate([("lead", words), ("some other five words here", words), ("lead", edited)])]
+    out = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and "some other" in out[1] and "tail1" in out[1] and "inserted" in out[2]
+    left = {i: set(out[i].split()) for i in (1, 2)}
+    assert len(left[1] & set(words)) < 40 and len(left[2] & set(words[:60])) < 20 and len(left[2] & set(words[60:])) < 30
+
+
 def test_units_lie_side_by_side():
     for text in ("", "  ", "A b. C d!\n\nE " + "f " * 50 + "? ", "\n\nx.y z", "é ß. ü"):
         found = list(substring_dedup.units(text))
