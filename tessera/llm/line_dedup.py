@@ -8,8 +8,9 @@ others go.
 
 Defined cases: a null text stays null; null sources are one site; blank lines are
 never boilerplate; a document without ``doc_id`` is known by a hash of its text;
-rows that repeat a ``doc_id`` and text are one document and are treated alike; an
-empty table gives an empty result.  Other columns are carried.
+ids may be numbers or text, which is ordered as text; rows that repeat a ``doc_id``
+and text are one document and are treated alike; a very long text is split as a whole,
+inside its row; an empty table gives an empty result.  Other columns are carried.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from .keys import document_key
 BLANKS = " \t\r"
 
 
-def _document_keys(id_col: str, text_col: str) -> dict[str, Column]:
-    return {"_t": F.xxhash64(F.col(text_col)), "_d": document_key(id_col, text_col)}
+def _document_keys(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    return {"_t": F.xxhash64(F.col(text_col)), "_d": document_key(docs, id_col, text_col)}
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row for each line that is not blank: document key, place, site and 128 bits of hash."""
-    keys = [c.alias(n) for n, c in _document_keys(id_col, text_col).items()]
+    keys = [c.alias(n) for n, c in _document_keys(docs, id_col, text_col).items()]
     lines = docs.select(
         *keys, F.col(site_col).cast("string").alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")
     )
@@ -112,7 +113,7 @@ def dedup_lines(
         .agg(F.array_sort(F.collect_list("_pos")).alias("_gone"))
     )
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of the documents meets one of the keys
-    keyed = docs.select(whole, *[c.alias(n) for n, c in _document_keys(id_col, text_col).items()])
+    keyed = docs.select(whole, *[c.alias(n) for n, c in _document_keys(docs, id_col, text_col).items()])
     joined = keyed.join(gone, ["_d", "_t"], "left")
     old = F.col("_doc")[text_col]
     text = F.when(

@@ -1,20 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences, and a sentence longer than ``max_words`` at places that
-the words around them choose, so that a passage gives the same units wherever it stands;
-what lies more than ``max_words`` apart is cut in steps from the place before.
-Every run of ``run`` consecutive units of at least ``min_words`` words is hashed; runs
-are joined on the hash over all documents, and units covered by any repeated span that
-is not the first one go.  The first span is the one in the document with the smallest
-id, and within it the earliest.  Only ids and hashes are shuffled until the result:
-per hash the least and the greatest document id say whether it repeats, which partial
-sums keep small for the most frequent passage.
+the words around them choose, so that a passage gives the same units wherever it
+stands: a cut depends on nothing but the seven gaps between words around it.
+Every run of ``run`` consecutive units is hashed; runs are joined on the hash over all
+documents, and units covered by any repeated span that is not the first one go.  The
+first span is the one in the document with the smallest id, and within it the earliest.
+Only ids and hashes are shuffled until the result: per hash the least and the greatest
+document id say whether it repeats, which partial sums keep small for the most frequent
+passage.
 
 Defined cases: null and empty texts have no units and stay as they are; a text with
 fewer units than a run is one run; a document without ``doc_id`` is known by a hash of
-its text; rows that repeat a ``doc_id`` are one document and are treated alike; white
-space and case do not tell runs apart; an empty table gives an empty result.  The hash
-has 64 bits: among n different runs about n^2 / 2^65 pairs are taken for equal.
+its text; ids may be numbers or text, which is ordered as text; rows that repeat a
+``doc_id`` and text are one document and are treated alike, and texts that share a
+``doc_id`` are documents of their own, in the order of their hashes; white space and
+case do not tell runs apart; a very long text is cut as a whole, and its runs leave in
+blocks; an empty table gives an empty result; other columns are carried, whatever their
+names.  The hash has 64 bits: among n different runs about n^2 / 2^65 pairs are taken
+for equal.
 """
 
 from __future__ import annotations
@@ -36,19 +40,18 @@ _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
-#: A sentence is cut between two words whose hash is the least among those of so many gaps on either side.
+#: A long sentence is cut between two words whose hash is not above those of so many gaps on either side.
 _NEAR = 3
+#: Runs in a batch.
+_ROWS = 100_000
 
 
-def _ends(words: list[str], max_words: int) -> Iterator[int]:
+def _ends(words: list[str]) -> Iterator[int]:
     """Where the units of a long sentence end, counted in words."""
-    gaps = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)]
-    last = 0
+    gaps = [zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False)]
     for i in range(_NEAR, len(gaps) - _NEAR):
-        if gaps[i] < min(gaps[i - _NEAR : i]) and gaps[i] <= min(gaps[i + 1 : i + _NEAR + 1]):
-            yield from range(last + max_words, i + 1, max_words)
-            yield (last := i + 1)
-    yield from range(last + max_words, len(words), max_words)
+        if gaps[i] <= gaps[i - 1] and gaps[i] <= min(gaps[i - _NEAR : i + _NEAR + 1]):
+            yield i + 1
     yield len(words)
 
 
@@ -68,125 +71,88 @@ def units(text: str, max_words: int = 16) -> Iterator[tuple[int, int, list[str]]
             at = start
             pieces = [start + m.end() for m in _WORD.finditer(text[start:end])]
             first = 0
-            for last in _ends(words, max_words):
+            for last in _ends(words):
                 stop = end if last == len(words) else pieces[last - 1]
                 yield at, stop, words[first:last]
                 at, first = stop, last
         start = end
 
 
-def run_hashes(text: str, run: int = 3, min_words: int = 6, max_words: int = 16) -> tuple[list[int], list[int]]:
-    """Place of the first unit and hash of each run that is long enough."""
+def run_hashes(text: str, run: int = 3, max_words: int = 16) -> list[int]:
+    """Hash of the run that begins at each unit."""
     from xxhash import xxh3_64_intdigest
 
-    found = [w for _, _, w in units(text, max_words)]
-    if not found:
-        return [], []
-    joined, sizes = [" ".join(w) for w in found], [len(w) for w in found]
-    width = min(run, len(found))
-    places, hashes = [], []
-    for i in range(len(found) - width + 1):
-        if sum(sizes[i : i + width]) >= min_words:
-            places.append(i)
-            hashes.append(xxh3_64_intdigest("\n".join(joined[i : i + width])))
-    return places, hashes
+    joined = [" ".join(w) for _, _, w in units(text, max_words)]
+    width = min(run, len(joined))
+    return [xxh3_64_intdigest("\n".join(joined[i : i + width])) for i in range(len(joined) - width + 1)] if joined else []
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int, max_words: int) -> DataFrame:
-    """``d, pos, h, again``: every run; ``again`` if its document has it at an earlier place."""
+def _runs(docs: DataFrame, id_col: str, text_col: str, run: int, max_words: int) -> DataFrame:
+    """``d, t, pos, h``: every run; ``pos`` is ``-1 - place`` if its document has it at an earlier place."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, places_, hashes_, again_ = [], [], [], []
-            size = 0
+            rows, places, hashes, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
+                of = pa.array(np.concatenate(rows))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (docs_, places_, hashes_, again_)], ["d", "pos", "h", "again"]
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))],
+                    ["d", "t", "pos", "h"],
                 )
 
-            for d, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                places, hashes = run_hashes(cell.as_py() or "", run, min_words, max_words)
-                if not places:
-                    continue
-                h = np.array(hashes, np.uint64).view(np.int64)
-                again = np.ones(len(h), bool)
-                again[np.unique(h, return_index=True)[1]] = False
-                docs_.append(np.full(len(h), d, np.int64))
-                places_.append(np.array(places, np.int32))
-                hashes_.append(h)
-                again_.append(again)
-                size += len(h)
-                if size > 100_000:
-                    yield flush()
-                    docs_, places_, hashes_, again_, size = [], [], [], [], 0
+            for i, cell in enumerate(batch.column(2)):
+                h = np.array(run_hashes(cell.as_py() or "", run, max_words), np.uint64).view(np.int64)
+                pos = -1 - np.arange(len(h), dtype=np.int32)
+                first = np.unique(h, return_index=True)[1]
+                pos[first] = first
+                for low in range(0, len(h), _ROWS):  # a very long text leaves in blocks
+                    part = slice(low, low + _ROWS)
+                    rows.append(np.full(len(h[part]), i, np.int32))
+                    places.append(pos[part])
+                    hashes.append(h[part])
+                    size += len(h[part])
+                    if size >= _ROWS:
+                        yield flush()
+                        rows, places, hashes, size = [], [], [], 0
             if size:
                 yield flush()
 
-    keyed = docs.select(document_key(id_col, text_col).alias("d"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(emit, "d long, pos int, h long, again boolean")
-
-
-def repeated_runs(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 6, max_words: int = 16
-) -> DataFrame:
-    """``d, pos``: the runs that are not the first of their kind."""
-    runs = _runs(docs, id_col, text_col, run, min_words, max_words)
-    # a table of its own, so that the join below is a plain one whose hot keys the adaptive skew join can split
-    shared = cut(
-        runs.where(~F.col("again"))
-        .groupBy("h")
-        .agg(F.min("d").alias("first"), F.max("d").alias("last"))
-        .where(F.col("first") < F.col("last"))
-        .select("h", "first")
-    )
-    return (
-        runs.join(shared, "h", "left")
-        .where(F.col("again") | (F.col("first") < F.col("d")))
-        .select("d", "pos")
+    key = document_key(docs, id_col, text_col)
+    keyed = docs.select(key.alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    schema = T.StructType(
+        [T.StructField("d", keyed.schema["d"].dataType), T.StructField("t", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType())]
     )
+    return keyed.mapInArrow(emit, schema)
 
 
-def covered(words: list[int], starts: list[int], run: int, min_span_words: int) -> list[bool]:
-    """Which units go: those in stretches of repeated runs that hold ``min_span_words`` words, or the whole text."""
-    gone = [False] * len(words)
-    for i in starts:
-        gone[i : i + run] = [True] * len(gone[i : i + run])
-    if all(gone):
-        return gone
-    at = 0
-    while at < len(gone):
-        end = at
-        while end < len(gone) and gone[end]:
-            end += 1
-        if end > at and sum(words[at:end]) < min_span_words:
-            gone[at:end] = [False] * (end - at)
-        at = end + 1
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = 3, max_words: int = 16) -> DataFrame:
+    """``d, t, pos``: the runs that are not the first of their kind; ``d, t`` are document key and text hash."""
+    runs = cut(_runs(docs, id_col, text_col, run, max_words))
+    own = runs.where("pos >= 0")
+    # a table of its own, so that the join below is a plain one whose hot keys the adaptive skew join can split
+    shared = cut(own.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "first"))
+    gone = own.join(shared, "h").where("first < d").select("d", "t", "pos")
+    gone = gone.unionByName(runs.where("pos < 0").select("d", "t", F.expr("-1 - pos").alias("pos")))
+    key = document_key(docs, id_col, text_col).alias("d")
+    several = docs.select(key, F.xxhash64(text_col).alias("t")).groupBy("d").agg(F.min("t").alias("least"), F.max("t").alias("_most"))
+    several = cut(several.where("least < _most").select("d"))
+    if several.limit(1).count():  # texts that share an id: the first one is that of the smallest hash
+        inside = own.join(several, "d", "left_semi")
+        heads = cut(inside.groupBy("h", "d").agg(F.min("t").alias("head")))
+        gone = gone.unionByName(inside.join(heads, ["h", "d"]).where("head < t").select("d", "t", "pos"))
     return gone
 
 
-def dedup_substrings(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    run: int = 3,
-    min_words: int = 6,
-    max_words: int = 16,
-    min_span_words: int = 25,
-) -> DataFrame:
-    """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``.
-
-    A stretch of repeated runs with fewer than ``min_span_words`` words, such as a short
-    line that many texts share, stays, unless it is the whole text.  With ``min_words`` and
-    ``min_span_words`` of 0, as in the registered query, every repeated run goes.
-    """
-    repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, min_words=min_words, max_words=max_words)
-    gone = repeated.groupBy("d").agg(F.collect_set("pos").alias("_gone"))
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = 3, max_words: int = 16) -> DataFrame:
+    """``docs`` without the sentences that a repeated span covers, plus ``_units_removed``."""
+    repeated = repeated_runs(docs, id_col=id_col, text_col=text_col, run=run, max_words=max_words)
+    gone = repeated.groupBy("d", "t").agg(F.collect_set("pos").alias("_gone"))
     columns = [c for c in docs.columns if c != "_units_removed"]
     numbered = [f"c{i}" for i in range(len(columns))]  # no column of the documents meets one of the keys
-    keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, numbered, strict=True)], document_key(id_col, text_col).alias("_d"))
-    joined = keyed.join(gone.withColumnRenamed("d", "_d"), "_d", "left").select(*numbered, "_gone")
+    keys = [document_key(docs, id_col, text_col).alias("_d"), F.xxhash64(text_col).alias("_t")]
+    keyed = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, numbered, strict=True)], *keys)
+    joined = keyed.join(gone.withColumnsRenamed({"d": "_d", "t": "_t"}), ["_d", "_t"], "left").select(*numbered, "_gone")
     place = columns.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +166,9 @@ def dedup_substrings(
                     n_gone.append(0)
                     continue
                 found = list(units(text, max_words))
-                gone_units = covered([len(w) for _, _, w in found], starts, run, min_span_words)
-                kept = "".join(text[a:b] for (a, b, _), g in zip(found, gone_units, strict=True) if not g)
-                texts.append(kept.rstrip() if any(gone_units) else text)
-                n_gone.append(sum(gone_units))
+                covered = {at for i in starts for at in range(i, min(i + run, len(found)))}
+                texts.append("".join(text[a:b] for at, (a, b, _) in enumerate(found) if at not in covered).rstrip())
+                n_gone.append(len(covered))
             carried = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*carried, pa.array(n_gone, pa.int64())], [*columns, "_units_removed"])
 
