@@ -240,6 +240,85 @@ def test_html_clusters_select_regions():
     assert main_text(html) == ("real content here " * 30).strip() + "\nshort"
 
 
+STORY = "<p>" + "a sentence of the story " * 12 + "</p>"
+MENU = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+def test_html_clusters_select_lines_inside_the_article():
+    page = f"<article><h1>Title</h1>{STORY}{MENU}{STORY}<p><a href=r>The whole report</a></p>{STORY}<p>End.</p></article>"
+    out = main_text(page).split("\n")
+    assert "Item 3" not in out and "The whole report" in out and "Title" in out and out[-1] == "End."
+    assert "Item 3" in main_text(page, threshold=0).split("\n")  # without a threshold nothing is told apart
+    assert "Item 3" in main_text(f"<article>{MENU}</article>")
+
+
+def test_html_classes_count_as_a_whole():
+    kept = '<div class="article-header"><h1>The title</h1></div><p class="ad-free">No adverts</p><div class="share-prices">Prices rose</div>'
+    gone = '<div class="ad">1</div><div class="ad-slot">2</div><div id="siteFooter">3</div><div class="comment-list">4</div><p class="x cookie_banner">5</p>'
+    assert main_text(f"<article>{kept}{gone}</article>") == "The title\nNo adverts\nPrices rose"
+    assert main_text(f'<div class="layout no-sidebar"><article>{kept}</article></div>').startswith("The title")
+    assert main_text(f'<div class="sidebar">y<article>{kept}</article>z</div>').startswith("The title")
+    assert main_text('<p>real</p><div id="comments"><article>nice</article></div>') == "real"
+
+
+def brute_content(lines, sigma=1.0, threshold=0.5):
+    place = next((p for p in ("article", "main") if any(getattr(x, p) for x in lines)), "container")
+    picked = [x for x in lines if getattr(x, place) or place == "container"]
+    if not picked:
+        return []
+    chars = np.array([len(x.text.replace(" ", "")) for x in picked])
+    linked = np.array([x.linked for x in picked])
+    ratio = np.maximum(0, chars - linked) / np.maximum(1, [x.tags for x in picked])
+    region = np.array([getattr(x, place) for x in picked])
+    apart = np.arange(len(picked))[:, None] - np.arange(len(picked))
+    weight = np.exp(-(apart**2) / (2 * sigma**2)) * (abs(apart) <= max(1, np.ceil(2 * sigma))) * (region[:, None] == region)
+    smooth = weight @ ratio / weight.sum(axis=1)
+    least = threshold * ratio.mean()
+    content = [(smooth[region == r] >= least - 1e-9).any() for r in region]
+    keys = [(r, x.container, 2 * k >= c) for r, x, k, c in zip(region, picked, linked, chars)]
+    runs = np.cumsum([1, *(a != b for a, b in zip(keys, keys[1:]))])
+    reached = [smooth[runs == n].mean() >= least - 1e-9 for n in runs]
+    return [x for x, c, k, n, far in zip(picked, content, linked, chars, reached) if c and (2 * k < n or far)]
+
+
+def test_html_content_against_brute_force(spark, sf_dir):
+    from tessera.llm.html_text import PageLines, content_lines
+
+    rng = random.Random(12)
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    inner = ["<p>{}</p>", "<div>{}</div>", "<a href=x>{}</a>", "<ul><li><a>{}</a><li><a>x y</a></ul>", "<b>{}</b>", "<article>{}</article>", "{}<br>", "<section><i>{}</section>", "</div>{}"]
+    for _ in range(300):
+        html = "".join(rng.choice(inner).format("word " * rng.choice([0, 1, 3, 40])) for _ in range(rng.randint(0, 14)))
+        pages.append(rng.choice(["{}", "<main>{}</main>", "<article>{}</article>"]).format(html))
+    for html in pages:
+        parser = PageLines()
+        parser.feed(html)
+        lines = parser.finish()
+        for threshold in (0.5, 0.9):
+            assert content_lines(lines, threshold=threshold) == brute_content(lines, threshold=threshold)
+
+
+def test_html_of_the_given_pages_is_their_article(spark, sf_dir):
+    import html as escapes
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        article = re.sub("</?b>", "", re.sub("<br>", " ", re.search(r"<article>(.*?)(?:</article>|<footer>|$)", r.html, re.S)[1]))
+        blocks = [" ".join(escapes.unescape(x).split()) for x in re.split(r"</?(?:h1|p)[^>]*>", article)]
+        assert main_text(r.html) == "\n".join(x for x in blocks if x)
+
+
+def test_html_time_is_linear_in_hostile_markup():
+    import subprocess
+    import sys
+
+    code = (
+        "from tessera.llm.html_text import main_text; n = 40_000\n"
+        "main_text('<div></p>' * n)\n"
+        "main_text('<div></span></div></section>' * n + '<b><div>' + '<i>' * n + '</b>' * n + '<div></div>' * n)"
+    )
+    assert subprocess.run([sys.executable, "-c", code], timeout=60).returncode == 0
+
+
 def test_extract_pages_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6)], "page_id long, url string, html string, text int")
     out = extract_pages(pages).collect()
@@ -316,7 +395,7 @@ def test_secret_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_hex long, spans string")
     out = secrets.secret_spans(docs).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.n_hex) for r in out) == [("1", 1, 1), ("1", 1, 1), ("2", 0, 0), ("None", 1, 0)]
-    assert next(r.spans for r in out if r.doc_id == 1).== "assign:1500000:1500022,entropy:1500000:1500022,hex:1500023:1500063"
+    assert next(r.spans for r in out if r.doc_id == 1) == "assign:1500000:1500022,entropy:1500000:1500022,hex:1500023:1500063"
     empty = secrets.secret_spans(docs.where("false"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
