@@ -4,14 +4,16 @@ Labels and texts of a bounded sample train a logistic regression on the presence
 words and of their first letters.  Identity terms in labelled sentences are swapped
 for others of their group, and the squared change of the score that a swap causes is
 part of the loss, so a neutral mention of a group does not raise a score.  Screening
-counts and the training rows come from Spark; the fit itself sees a matrix of at most
-``max_rows`` by ``max_features``.
+counts and the training rows come from Spark; the fit itself sees at most ``max_rows``
+rows as a sparse matrix, of every feature that passes the screen.
 
 Defined cases: null and empty texts have no features and get the intercept's score;
-whole texts are scored; rows that repeat a ``doc_id`` are scored one by one; a
-document with contradicting labels counts as toxic; null labels and labels without a
-document are no labels; a null ``doc_id`` is never labelled nor held out; without
-both classes among the labels every score is 0; empty tables give an empty result.
+whole texts are scored, very long ones too; rows that repeat a ``doc_id`` are scored one
+by one; a document with contradicting labels counts as toxic; null labels and labels
+without a document are no labels; a null ``doc_id`` is never labelled nor held out;
+features of equal strength pass the screen together; without both classes among the
+labels every score is 0; empty tables give an empty result; other columns are carried,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -58,15 +60,15 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 
 
-def word_features(word: str) -> tuple[str, ...]:
+def word_features(word: str, prefixes: tuple[int, ...] = PREFIXES) -> tuple[str, ...]:
     """The features of one lower-case word: itself, and its beginnings marked by ^."""
-    beginnings = tuple(f"^{word[:n]}" for n in PREFIXES if len(word) > n)
+    beginnings = tuple(f"^{word[:n]}" for n in prefixes if len(word) > n)
     return beginnings if len(word) > LONGEST else (word, *beginnings)
 
 
-def text_features(words: set[str]) -> set[str]:
+def text_features(words: set[str], prefixes: tuple[int, ...] = PREFIXES) -> set[str]:
     """The features of a set of words."""
-    return {f for w in words for f in word_features(w)}
+    return {f for w in words for f in word_features(w, prefixes)}
 
 
 def swapped(words: set[str], groups: tuple[tuple[str, ...], ...]) -> Iterator[set[str]]:
@@ -85,10 +87,11 @@ class ToxicityModel:
     intercept: float = -np.inf
     rows: int = 0
     pairs: int = 0
+    prefixes: tuple[int, ...] = PREFIXES
 
     def score(self, words: set[str]) -> float:
         """Probability of the label for a set of lower-case words."""
-        logit = self.intercept + sum(self.weights.get(f, 0.0) for f in sorted(text_features(words)))
+        logit = self.intercept + sum(self.weights.get(f, 0.0) for f in sorted(text_features(words, self.prefixes)))
         return 0.0 if logit == -np.inf else float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
@@ -97,32 +100,73 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+class SparseRows:
+    """Rows of a matrix as the columns and values that are not zero."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
+        self.shape = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
+        self.column = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in rows)]).astype(np.int64)
+        self.value = np.concatenate([np.zeros(0), *(v for _, v in rows)])
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The matrix times a vector."""
+        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a vector."""
+        return np.bincount(self.column, self.value * r[self.row], self.shape[1])
+
+
 def fit_logistic(
-    x: np.ndarray, y: np.ndarray, swaps: np.ndarray, swap_counts: np.ndarray, ridge: float, counterfactual: float, rounds: int = 40
+    x: SparseRows, y: np.ndarray, swaps: SparseRows, swap_counts: np.ndarray, ridge: float, counterfactual: float, rounds: int = 60
 ) -> tuple[np.ndarray, float]:
-    """Newton's method for logistic loss, a ridge, and ``counterfactual/2`` times the squared score change of each swap."""
-    n, k = x.shape
-    design = np.hstack([x, np.ones((n, 1))])
-    fixed = np.diag([ridge] * k + [1e-6])
-    if len(swaps):
-        fixed[:k, :k] += counterfactual * (swaps * swap_counts[:, None]).T @ swaps
-    w = np.zeros(k + 1)
+    """Logistic loss, half a ridge, and ``counterfactual / 2`` times the squared score change of each swap, by Newton's method.
+
+    Each step is solved by conjugate gradients, which need products with the sparse rows alone.
+    """
+    k = x.shape[1]
+    own = np.append(np.full(k, ridge), 1e-6)
+
+    def logits(v: np.ndarray) -> np.ndarray:
+        return x.times(v[:k]) + v[k]
+
+    def turned(r: np.ndarray) -> np.ndarray:
+        return np.append(x.turned(r), r.sum())
+
+    def fixed(v: np.ndarray) -> np.ndarray:
+        return own * v + np.append(counterfactual * swaps.turned(swap_counts * swaps.times(v[:k])), 0.0)
 
     def loss(v: np.ndarray) -> float:
-        z = design @ v
-        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * v @ fixed @ v)
+        z = logits(v)
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * v @ fixed(v))
 
+    w = np.zeros(k + 1)
     at = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
-        gradient = design.T @ (p - y) + fixed @ w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + fixed
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip(logits(w), -500, 500)))
+        gradient = turned(p - y) + fixed(w)
+        curve = p * (1 - p)
+        step, rest = np.zeros(k + 1), gradient.copy()
+        towards, square = rest.copy(), float(rest @ rest)
+        goal = 1e-12 * square
+        for _ in range(2 * k + 20):
+            if square <= goal:
+                break
+            bent = turned(curve * logits(towards)) + fixed(towards)
+            size = square / float(towards @ bent)
+            step += size * towards
+            rest -= size * bent
+            after = float(rest @ rest)
+            towards = rest + after / square * towards
+            square = after
         size = 1.0
         while (after := loss(w - size * step)) > at and size > 1e-6:
             size /= 2
+        if after > at:
+            break
         w, gain, at = w - size * step, at - after, after
-        if gain < 1e-6 * max(1.0, abs(at)):
+        if gain < 1e-9 * max(1.0, abs(at)):
             break
     return w[:k], float(w[k])
 
@@ -154,23 +198,23 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 9_000,
-    max_features: int = 256,
     min_rows: int = 3,
-    min_strength: float = 2.0,
+    min_strength: float = 2.5,
     ridge: float = 0.2,
     counterfactual: float = 50.0,
+    prefixes: tuple[int, ...] = PREFIXES,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
 ) -> ToxicityModel:
     """Fit the classifier on a sample of at most ``max_rows`` labelled rows.
 
-    Features are screened by their log-odds ratio over its standard error; the
-    ``max_features`` strongest of at least ``min_strength`` that stand in ``min_rows`` rows
-    take part, and so do the features of identity terms.
+    Features are screened by their log-odds ratio over its standard error: all of at least
+    ``min_strength`` that stand in ``min_rows`` rows take part, and so do the features of
+    identity terms.  ``cross_validate`` is how the defaults were chosen.
     """
     rows = cut(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows))
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     if not totals.toxic or not totals.clean:
-        return ToxicityModel(rows=totals.toxic + totals.clean)
+        return ToxicityModel(rows=totals.toxic + totals.clean, prefixes=prefixes)
     identity = {w for g in groups for w in g}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +229,7 @@ def fit_toxicity(
 
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by_class[toxic].update(text_features(set(_WORD.findall((text.as_py() or "").lower()))))
+                by_class[toxic].update(text_features(set(_WORD.findall((text.as_py() or "").lower())), prefixes))
                 if len(by_class[0]) + len(by_class[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -200,11 +244,9 @@ def fit_toxicity(
         counted.where(F.col("clean") + F.col("toxic") >= min_rows)
         .select("feature", strength.alias("strength"))
         .where(F.col("strength") >= min_strength)
-        .orderBy(F.desc("strength"), "feature")
-        .limit(max_features)
     )
-    names = [r.feature for r in strongest.collect()]
-    names += sorted(text_features(identity) - set(names))
+    names = sorted(r.feature for r in strongest.select("feature").collect())  # of at most max_rows texts
+    names += sorted(text_features(identity, prefixes) - set(names))
     index = {f: i for i, f in enumerate(names)}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +261,14 @@ def fit_toxicity(
             for cell in batch.column(1):
                 text = (cell.as_py() or "").lower()
                 words = set(_WORD.findall(text))
-                has.append(indices(text_features(words)))
+                has.append(indices(text_features(words, prefixes)))
                 if words & identity:
                     for sentence in _SENTENCE.split(text):
                         said = set(_WORD.findall(sentence))
                         if said & identity:
-                            before = text_features(said)
+                            before = text_features(said, prefixes)
                             for other in swapped(said, groups):
-                                after = text_features(other)
+                                after = text_features(other, prefixes)
                                 pairs[indices(after - before), indices(before - after)] += 1
             n = len(has)
             yield pa.RecordBatch.from_arrays(
@@ -240,19 +282,35 @@ def fit_toxicity(
             )
 
     found = rows.mapInArrow(project, "toxic int, has array<int>, loses array<int>, n long").collect()  # at most max_rows rows, and swaps by kind
-    sample = [r for r in found if r.toxic is not None]
-    x, y = np.zeros((len(sample), len(names))), np.array([float(r.toxic) for r in sample])
-    for i, r in enumerate(sample):
-        x[i, r.has] = 1.0
-    swaps = [r for r in found if r.toxic is None]
-    changes, counts = np.zeros((len(swaps), len(names))), np.array([float(r.n) for r in swaps])
-    for i, r in enumerate(swaps):
-        changes[i, r.has] += 1.0
-        changes[i, r.loses] -= 1.0
-    order = np.lexsort(np.hstack([x, y[:, None]]).T)  # the sample has no order of its own
-    w, intercept = fit_logistic(x[order], y[order], changes, counts, ridge, counterfactual)
+    # the sample has no order of its own
+    sample = sorted((r.has, r.toxic) for r in found if r.toxic is not None)
+    swaps = sorted((r.has, r.loses, r.n) for r in found if r.toxic is None)
+    x = SparseRows([(np.array(has), np.ones(len(has))) for has, _ in sample], len(names))
+    changes = SparseRows([(np.array(has + loses), np.repeat([1.0, -1.0], [len(has), len(loses)])) for has, loses, _ in swaps], len(names))
+    counts = np.array([float(n) for *_, n in swaps])
+    w, intercept = fit_logistic(x, np.array([float(y) for _, y in sample]), changes, counts, ridge, counterfactual)
     weights = {f: float(v) for f, v in zip(names, w, strict=True) if v}
-    return ToxicityModel(weights, intercept, len(sample), int(counts.sum()))
+    return ToxicityModel(weights, intercept, len(sample), int(counts.sum()), prefixes)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5, **fit) -> tuple[float, float]:
+    """Mean log loss and share of wrong decisions on labelled rows, each by a model that did not see its fold.
+
+    The held-out fold takes no part: the folds are the other remainders of the same hash.
+    """
+    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
+    sums = np.zeros(3)
+    for i in range(1, folds):
+        rest = labels.where(fold != i)
+        model = fit_toxicity(docs, rest, id_col=id_col, label_col=label_col, **fit)
+        asked = docs.join(known.where(fold == i), id_col)
+        p = F.least(F.greatest(F.col("_p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+        scored = score_toxicity(asked, model, score_col="_p")
+        loss = -F.when(F.col("_toxic") == 1, F.log(p)).otherwise(F.log(1 - p))
+        wrong = F.count_if((F.col("_p") >= 0.5) != (F.col("_toxic") == 1))
+        sums += np.array(scored.agg(F.sum(loss), wrong, F.count("*")).first(), float)
+    return sums[0] / sums[2], sums[1] / sums[2]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
@@ -260,7 +318,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     names = list(model.weights)
     weights = np.array([model.weights[f] for f in names])
     index = {f: i for i, f in enumerate(names)}
-    intercept = model.intercept
+    intercept, prefixes = model.intercept, model.prefixes
     columns = [c for c in docs.columns if c != score_col]
     place = columns.index(text_col)
 
@@ -272,7 +330,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
                 active: set[int] = set()
                 for word in set(_WORD.findall((cell.as_py() or "").lower())):
                     if (hit := table.get(word)) is None:
-                        hit = tuple(index[f] for f in word_features(word) if f in index)
+                        hit = tuple(index[f] for f in word_features(word, prefixes) if f in index)
                         if len(word) <= LONGEST:
                             if len(table) >= KEPT:
                                 table.clear()

@@ -68,6 +68,51 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels)).count() == 0
 
 
+def test_logistic_fit_against_a_plain_one():
+    rng = np.random.default_rng(2)
+    x = (rng.random((120, 9)) < 0.3).astype(float)
+    y = (rng.random(120) < 1 / (1 + np.exp(-(x @ rng.normal(size=9) - 0.5)))).astype(float)
+    swaps, counts = np.array([[1.0, -1, 0, 0, 0, 0, 0, 0, 0], [0, 0, 1, -1, 1, 0, 0, 0, 0]]), np.array([3.0, 2.0])
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.sum(np.log(1 + np.exp(z)) - y * z) + 0.2 / 2 * w @ w + 50 / 2 * counts @ (swaps @ w) ** 2
+
+    sparse = lambda m: toxicity.SparseRows([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in m], m.shape[1])
+    w, b = toxicity.fit_logistic(sparse(x), y, sparse(swaps), counts, 0.2, 50.0)
+    plain, at = np.zeros(9), 0.0
+    for _ in range(20_000):  # gradient descent
+        p = 1 / (1 + np.exp(-(x @ plain + at)))
+        plain = plain - 0.003 * (x.T @ (p - y) + 0.2 * plain + 50 * (swaps.T * counts) @ (swaps @ plain))
+        at -= 0.003 * np.sum(p - y)
+    assert np.allclose(w, plain, atol=1e-4) and abs(b - at) < 1e-4
+    best = loss(w, b)
+    for _ in range(200):
+        assert loss(w + rng.normal(size=9) * 1e-2, b + rng.normal() * 1e-2) >= best
+    free = toxicity.fit_logistic(sparse(x), y, sparse(swaps[:0]), counts[:0], 0.2, 50.0)[0]
+    assert np.abs(swaps @ w).max() < 0.2 * np.abs(swaps @ free).max()
+
+
+def test_toxicity_scores_against_a_plain_sum(spark):
+    model = toxicity.ToxicityModel({"vile": 2.0, "^vile": 0.5, "^kind": -1.0, "men": 0.25}, -0.75)
+    texts = ["Vile, vile MEN", "vileness of kindly men", "", None, "kind"]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, _toxicity int")
+    got = [r.toxicity for r in toxicity.score_toxicity(docs, model).orderBy("doc_id").collect()]
+    logit = [-0.75 + 2 + 0.25, -0.75 + 0.5 - 1 + 0.25, -0.75, -0.75, -0.75]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(logit))))
+    assert np.allclose(got, [model.score(set(re.findall("[a-z]+", (t or "").lower()))) for t in texts])
+    assert toxicity.score_toxicity(docs, model, score_col="doc_id").columns == ["text", "_toxicity", "doc_id"]
+
+
+def test_cross_validation_leaves_the_held_out_fold_alone(spark):
+    texts = [(f"plain words number {i}", 0) for i in range(60)] + [(f"such vermin number {i}", 1) for i in range(30)]
+    docs, labels = labelled(spark, texts)
+    loss, wrong = toxicity.cross_validate(docs, labels)
+    assert 0 <= loss < 0.5 and wrong == 0
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.cross_validate(docs, turned) == (loss, wrong)
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
