@@ -20,7 +20,7 @@ repeat a ``doc_id`` each get a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -51,16 +51,24 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         n = len(words) - shingle + 1
     digests = map(partial(xxh64_intdigest, seed=seed), shingles)
+    return _majority((np.fromiter(digests, np.uint64, min(_BLOCK, n - start)) for start in range(0, n, _BLOCK)), n)
+
+
+def _majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of ``n`` hashes have."""
     ones = np.zeros(BITS, np.int64)
-    for start in range(0, n, _BLOCK):
-        size = min(_BLOCK, n - start)
-        hashes = np.fromiter(digests, np.uint64, size)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(size, 8), axis=1, bitorder="little")
+    for hashes in blocks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     set_bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
+def hashed_bits(hashes: np.ndarray) -> int:
+    """SimHash of a text whose shingles are hashed already; 0 for none."""
+    return _majority((hashes[start : start + _BLOCK] for start in range(0, len(hashes), _BLOCK)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` for every row; ``fp`` is the fingerprint as a signed long."""
 
