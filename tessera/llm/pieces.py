@@ -5,12 +5,15 @@ normalised by the longest prefix in that map, character by character where the m
 has none, and every normalised byte remembers the source byte it came from.  Merges
 work inside a segment, a run of word-start marks with what follows up to the next
 one, which is exact as long as no piece has a mark behind another character (the
-model is checked for that when it is read); so a segment's pieces are found once
-and kept in a bounded table.
+model is checked for that when it is read), and inside it between characters that
+stand side by side in some piece; so the pieces of a segment, and of its parts, are
+found once and kept in a bounded table.
 
 Defined cases: a null text is the empty text, which has no ids; characters that no
-piece covers become the bytes of their UTF-8 form; extra columns are ignored by
-``token_digests``; an empty table gives an empty result.
+piece covers become the bytes of their UTF-8 form; of pieces with equal scores the
+leftmost merge comes first; very long texts are encoded whole, segment by segment, and
+a long segment by a heap; rows that repeat a ``doc_id``, or lack it, are encoded one by
+one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segments in a worker's table before it begins a new one; the one before is kept too.
-KEPT = 250_000
+KEPT = 300_000
 #: Score of a pair that is no piece.
 _NONE = float("-inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -150,11 +153,13 @@ class Model:
                     elif n == 5:
                         self.escape = bool(v)
         self.sizes = [1 if i in self.byte_of else len(p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
+        self._written = [(str(i), p, str(n)) for i, (p, n) in enumerate(zip(self.pieces, self.sizes, strict=True))]
         self.map = CharacterMap(charsmap)
         if model_type != 2 or not byte_fallback or len(self.byte_ids) != 256:
             raise ValueError("a BPE model with byte fallback is needed")
         if any(k in (_USER, _UNUSED) for k in kinds) or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces must be ordinary ones, without a word-start mark behind another character")
+        self._joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.segments = _Segments(self)
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
@@ -263,6 +268,16 @@ class Model:
             out.append(pending.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
+    def written(self, ids: list[int]) -> tuple[str, str, str]:
+        """The ids as text, what they decode to, and the bytes of each piece as text."""
+        written = self._written
+        if len(ids) == 1 and ids[0] not in self.byte_of and ids[0] not in self.silent:
+            name, piece, size = written[ids[0]]
+            return name, piece.replace(MARK, " "), size
+        names, pieces, sizes = zip(*[written[i] for i in ids], strict=True) if ids else ((), (), ())
+        plain = self.byte_of.keys().isdisjoint(ids) and self.silent.isdisjoint(ids)
+        return ",".join(names), "".join(pieces).replace(MARK, " ") if plain else self.text_of(ids), ",".join(sizes)
+
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids."""
         text = self.text_of(ids)
@@ -306,6 +321,18 @@ class Model:
             offer(i)
         return [s for s in symbols if s]
 
+    def parts(self, segment: str) -> list[str]:
+        """The segment cut between characters that stand side by side in no piece, so that no merge crosses a cut."""
+        if segment.isalpha():
+            return [segment]
+        joined, out, low = self._joined, [], 0
+        for i in range(1, len(segment)):
+            if segment[i - 1 : i + 1] not in joined:
+                out.append(segment[low:i])
+                low = i
+        out.append(segment[low:])
+        return out
+
     def segment_ids(self, segment: str) -> list[int]:
         """The ids of a segment."""
         out: list[int] = []
@@ -330,11 +357,15 @@ class _Segments(dict):
 
     def __missing__(self, segment: str) -> tuple[str, str, str]:
         if (value := self.old.get(segment)) is None:
-            ids = self.model.segment_ids(segment)
-            value = ",".join(map(str, ids)), self.model.text_of(ids), ",".join([str(self.model.sizes[i]) for i in ids])
+            parts = self.model.parts(segment)
+            if len(parts) > 1:
+                found = [self[p] for p in parts]
+                value = ",".join([f[0] for f in found]), "".join([f[1] for f in found]), ",".join([f[2] for f in found])
+            else:
+                value = self.model.written(self.model.segment_ids(segment))
         if len(segment) <= 64:
             if len(self) >= KEPT:
-                self.old = dict(self)
+                self.old = self.copy()
                 self.clear()
             self[segment] = value
         return value

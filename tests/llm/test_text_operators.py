@@ -483,6 +483,28 @@ def test_token_spans_give_back_the_source(spark, model):
     assert rows[2].ids == [] and rows[1].begins[0] == 0 and rows[1].ends[-1] == 5
 
 
+def test_parts_merge_as_the_whole(model):
+    """No merge crosses a cut between characters that no piece has side by side; short and long segments merge alike."""
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "▁" * rng.randint(0, 3) + "".join(rng.choices("aeinrstdhlouéßñ中🙂.,!?'0-\n", k=rng.randint(1, 60)))
+        parts = model.parts(word)
+        assert "".join(parts) == word and [i for p in parts for i in model.segment_ids(p)] == model.segment_ids(word)
+        assert model.text_of(model.segment_ids(word)) == model.segments[word][1] == word.replace("▁", " ")
+        table = model.segments[word]
+        assert table == model.written(model.segment_ids(word))
+
+
+def test_token_rows(spark):
+    long = "word " * 200_000
+    rows = [(1, long, 1, "x"), (1, long, 1, "x"), (None, "ab", 2, "y"), (2, "", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, ids_sha256 string")
+    out = pieces.token_digests(docs, queries.piece_model_path()).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out)[:2] == [("1", 200_001)] * 2
+    assert {r.decoded_sha256 for r in out if r.doc_id == 1} == {hashlib.sha256(long.encode()).hexdigest()}
+    assert pieces.token_digests(docs.where("false"), queries.piece_model_path()).count() == 0
+
+
 def compiled_map(entries):
     """A compiled character map of a few entries: a double-array trie laid out by hand, one block of 256 units a node."""
     replacements, where = b"", {}
