@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,11 +104,9 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 class SparseRows:
     """Rows of a matrix as the columns and values that are not zero."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
-        self.shape = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
-        self.column = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in rows)]).astype(np.int64)
-        self.value = np.concatenate([np.zeros(0), *(v for _, v in rows)])
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int) -> None:
+        self.shape = len(sizes), width
+        self.row, self.column, self.value = np.repeat(np.arange(len(sizes)), sizes), columns, values
 
     def times(self, v: np.ndarray) -> np.ndarray:
         """The matrix times a vector."""
@@ -251,14 +250,15 @@ def fit_toxicity(
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
-        schema = pa.schema([("toxic", pa.int32()), ("has", pa.list_(pa.int32())), ("loses", pa.list_(pa.int32())), ("n", pa.int64())])
+        kinds = [("toxic", pa.int32()), ("key", pa.int64()), ("has", pa.list_(pa.int32())), ("loses", pa.list_(pa.int32())), ("n", pa.int64())]
+        schema = pa.schema(kinds)
 
         def indices(features: set[str]) -> tuple[int, ...]:
             return tuple(sorted(index[f] for f in features if f in index))
 
         for batch in batches:
             labels_, has = batch.column(0).to_pylist(), []
-            for cell in batch.column(1):
+            for cell in batch.column(2):
                 text = (cell.as_py() or "").lower()
                 words = set(_WORD.findall(text))
                 has.append(indices(text_features(words, prefixes)))
@@ -270,27 +270,33 @@ def fit_toxicity(
                             for other in swapped(said, groups):
                                 after = text_features(other, prefixes)
                                 pairs[indices(after - before), indices(before - after)] += 1
-            n = len(has)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels_, pa.int32()), pa.array(has, pa.list_(pa.int32())), pa.array([None] * n, pa.list_(pa.int32())), pa.array([1] * n, pa.int64())],
-                schema=schema,
-            )
+            nothing = pa.nulls(len(has), pa.list_(pa.int32()))
+            ones = pa.array(np.ones(len(has), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(labels_, pa.int32()), batch.column(1), pa.array(has, pa.list_(pa.int32())), nothing, ones], schema=schema)
         if pairs:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(pairs), pa.int32()), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32())), pa.array(list(pairs.values()), pa.int64())],
-                schema=schema,
-            )
-
-    found = rows.mapInArrow(project, "toxic int, has array<int>, loses array<int>, n long").collect()  # at most max_rows rows, and swaps by kind
-    # the sample has no order of its own
-    sample = sorted((r.has, r.toxic) for r in found if r.toxic is not None)
-    swaps = sorted((r.has, r.loses, r.n) for r in found if r.toxic is None)
-    x = SparseRows([(np.array(has), np.ones(len(has))) for has, _ in sample], len(names))
-    changes = SparseRows([(np.array(has + loses), np.repeat([1.0, -1.0], [len(has), len(loses)])) for has, loses, _ in swaps], len(names))
-    counts = np.array([float(n) for *_, n in swaps])
-    w, intercept = fit_logistic(x, np.array([float(y) for _, y in sample]), changes, counts, ridge, counterfactual)
+            none = pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int64())
+            changed = [pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*none, *changed, pa.array(list(pairs.values()), pa.int64())], schema=schema)
+
+    keyed = rows.select("toxic", F.xxhash64("text").alias("key"), "text")
+    found = keyed.mapInArrow(project, "toxic int, key long, has array<int>, loses array<int>, n long").toArrow()  # at most max_rows rows, and swaps by kind
+    known = pc.is_valid(found["toxic"])
+    # in an order of its own: that of labels and texts' hashes
+    sample = found.filter(known).sort_by([("toxic", "ascending"), ("key", "ascending")]).combine_chunks()
+    has = sample["has"].combine_chunks()
+    x = SparseRows(pc.list_value_length(has).to_numpy(zero_copy_only=False), has.flatten().to_numpy(), np.ones(len(has.flatten())), len(names))
+    y = sample["toxic"].to_numpy().astype(float)
+    swaps = sorted(found.filter(pc.invert(known)).select(["has", "loses", "n"]).to_pylist(), key=lambda r: (r["has"], r["loses"], r["n"]))
+    changes = SparseRows(
+        np.array([len(r["has"]) + len(r["loses"]) for r in swaps], np.int64),
+        np.array([i for r in swaps for i in (*r["has"], *r["loses"])], np.int64),
+        np.array([v for r in swaps for v in (*[1.0] * len(r["has"]), *[-1.0] * len(r["loses"]))]),
+        len(names),
+    )
+    counts = np.array([float(r["n"]) for r in swaps])
+    w, intercept = fit_logistic(x, y, changes, counts, ridge, counterfactual)
     weights = {f: float(v) for f, v in zip(names, w, strict=True) if v}
-    return ToxicityModel(weights, intercept, len(sample), int(counts.sum()), prefixes)
+    return ToxicityModel(weights, intercept, len(y), int(counts.sum()), prefixes)
 
 
 def cross_validate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5, **fit) -> tuple[float, float]:

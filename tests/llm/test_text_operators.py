@@ -78,7 +78,7 @@ def test_logistic_fit_against_a_plain_one():
         z = x @ w + b
         return np.sum(np.log(1 + np.exp(z)) - y * z) + 0.2 / 2 * w @ w + 50 / 2 * counts @ (swaps @ w) ** 2
 
-    sparse = lambda m: toxicity.SparseRows([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in m], m.shape[1])
+    sparse = lambda m: toxicity.SparseRows((m != 0).sum(axis=1), np.nonzero(m)[1], m[np.nonzero(m)], m.shape[1])
     w, b = toxicity.fit_logistic(sparse(x), y, sparse(swaps), counts, 0.2, 50.0)
     plain, at = np.zeros(9), 0.0
     for _ in range(20_000):  # gradient descent
