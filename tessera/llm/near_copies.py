@@ -186,14 +186,17 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     alone = rare.where("place = alone").select("node", F.expr("alone / n").alias("alone"))
     placed = met.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(1.0)))
 
-    links = cut(_linked(trees, sets))
-    groups = cut(connected_components(links, "a", "b"))
+    links = groups = None
     for _ in range(2):
-        now = placed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = placed.withColumn("component", F.col("node"))
+        if groups is not None:
+            now = placed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pivot = now.groupBy("bucket").agg(F.min(F.struct("alone", "node", "component")).alias("_p"), F.max("component").alias("_high"), F.min("component").alias("_low"))
         pivot = cut(pivot.where("_low < _high").select("bucket", F.col("_p.node").alias("a"), F.col("_p.component").alias("_home")))
         apart = cut(now.join(pivot, "bucket").where("component <> _home").select("bucket", "a", F.col("node").alias("b"), "alone"))
-        links = cut(links.unionByName(_linked(apart.select("a", "b").distinct(), sets)))
+        pairs = apart.select("a", "b")
+        found = cut(_linked((pairs if links is not None else pairs.unionByName(trees)).distinct(), sets))
+        links = found if links is None else links.unionByName(found)
         groups = cut(connected_components(links, "a", "b"))
         placed = apart.select("bucket", F.col("b").alias("node"), "alone")  # next, the most usual of those that were apart
     links = links.unionByName(_linked(_prefix_pairs(rare.where("5L * place <= n").select("node", "n", "place", "token"), groups), sets))
