@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: A term: letters and digits of any script.
+TERM = r"[\p{L}\p{N}]+"
+#: Distinct terms of all queries up to which they are broadcast; beyond, they are joined.
+BROADCAST_TERMS = 200_000
+
 
 def terms(text: Column) -> Column:
-    """Lower-case ASCII letters and digits in runs."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case letters and digits in runs."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def bm25(
     docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", query_id: str = "item_id", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """``query_id, id, score`` (six digits) of every document that shares a term with a query.
+    """``query_id, id, score, shared`` of every document that shares terms with a query: six digits, and how many terms.
 
-    Only the queries' terms are counted: documents meet them in a join on the term, and
-    the counts are summed before anything else is shuffled.
+    Only the queries' terms leave the documents' tasks: their number is counted first, and
+    up to ``BROADCAST_TERMS`` they are broadcast.  The counts are written once, for the
+    document frequencies and for the scores.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    split = docs.select(F.col(doc_id).alias("id"), terms(F.col("text")).alias("terms"))
-    sizes = split.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    counts = (
-        split.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    wanted = cut(asked.select("term").distinct())
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    lengths = docs.select(F.col(doc_id).alias("id"), "text", F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).alias("size"))
+    sizes = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    counts = cut(
+        lengths.select("id", "size", F.explode(terms(F.col("text"))).alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("id", "term", "size")
         .agg(F.count("*").alias("tf"))
@@ -34,8 +45,9 @@ def bm25(
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     rare = spread.join(F.broadcast(sizes)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    parts = counts.join(rare, "term").select("id", "term", weight.alias("weight"))
-    return parts.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    # of a term: a row for each query that asks it, so that a document's row meets no more rows than there are queries
+    parts = counts.join(asked.join(rare, "term"), "term").select("query_id", "id", weight.alias("weight"))
+    return parts.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").cast("double").alias("shared"))
 
 
 def ranked(hits: DataFrame, limit: int | None = None) -> DataFrame:
@@ -116,6 +128,33 @@ def relevance_metrics(results: DataFrame, golden: DataFrame, k: int = 10) -> Dat
     )
 
 
+def label_metrics(results: DataFrame, items: DataFrame, k: int = 10, *, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
+    """``relevance_metrics`` where what has the query's label is relevant, with grade 1, without listing such pairs.
+
+    A result meets the labels of its query and of itself; of a label only the number of its items is needed.
+    Queries that share their label with nothing have no relevant items and give no row.
+    """
+    labels = items.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    relevant = labels.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    asked = labels.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
+    same = results.where(F.col("rank") <= k).join(labels, "id").join(asked, "query_id").where("label = wanted")
+    found = same.groupBy("query_id").agg(
+        F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.min("rank").alias("first"), F.count("*").alias("hits")
+    )
+    # the best gain of up to k relevant items, a row of k numbers
+    gains = F.array(*[F.lit(sum(1 / math.log2(i + 1) for i in range(1, n + 1))) for n in range(k + 1)])
+    ideal = F.get(gains, F.least(F.col("relevant"), F.lit(k)).cast("int"))
+    every = asked.join(relevant, F.col("wanted") == F.col("label")).where("relevant > 0").select("query_id", "relevant").join(found, "query_id", "left")
+    hits = F.coalesce("hits", F.lit(0))
+    return every.select(
+        "query_id",
+        F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"),
+        F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
+        (hits / k).alias("precision"),
+        (hits / F.col("relevant")).alias("recall"),
+    )
+
+
 def macro_average(metrics: DataFrame) -> DataFrame:
     """The means of the metrics over all queries, four digits; zeros without queries."""
     return metrics.agg(*[F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(c) for c in ("ndcg", "mrr", "precision", "recall")])

@@ -2,14 +2,16 @@
 
 Rows are dealt into blocks of bounded size by a hash; each pair of blocks is one
 group, whose scores are one matrix product.  What leaves a group is bounded by k a
-row, or by what passes the threshold.
+row, or by what passes the threshold.  Vectors that are null, or hold null, NaN or
+infinite components, or are not of the most usual length, take no part; a zero vector
+scores 0 with every other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,9 +22,22 @@ def _unit(column) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine, F.lit(False))
+
+
+def usual_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """``id, v`` of the usable vectors of the most usual length (the shorter of equals), and how many there are."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    usual = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    return rows.where(F.size("v") == (usual["length"] if usual else 0)), usual["count"] if usual else 0
+
+
 def _block_pairs(vectors: DataFrame, id_col: str, vector_col: str, block: int, one_way: bool):
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
-    n = max(1, -(-rows.count() // block))
+    rows, n_rows = usual_vectors(vectors, id_col, vector_col)
+    n = max(1, -(-n_rows // block))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every, home = F.sequence(F.lit(0), F.lit(n - 1)), F.col("home")
     left = rows.select("id", "v", home.alias("a"), F.explode(F.filter(every, lambda b: b >= home) if one_way else every).alias("b"))
@@ -62,11 +77,16 @@ def nearest(
         scores = np.round(_unit(left["v"]) @ _unit(right["v"]).T, digits)
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         scores[a[:, None] == b] = -np.inf
-        order = np.lexsort((np.broadcast_to(b, scores.shape), -scores), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(a)), order.shape[1])
-        j = order.ravel()
-        keep = scores[i, j] > -np.inf
-        return pa.table({"query_id": a[i[keep]], "id": b[j[keep]], "score": scores[i[keep], j[keep]]})
+        if k < scores.shape[1]:
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            i, j = np.nonzero((scores >= kth) & (scores > -np.inf))
+        else:
+            i, j = np.nonzero(scores > -np.inf)
+        best = np.lexsort((b[j], -scores[i, j], i))
+        i, j = i[best], j[best]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        return pa.table({"query_id": a[i], "id": b[j], "score": scores[i, j]})
 
     hits = _block_pairs(vectors, id_col, vector_col, block, False).applyInArrow(compare, f"query_id {kind}, id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

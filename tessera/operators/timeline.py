@@ -41,12 +41,18 @@ def overlapping(spans: DataFrame, key: str, start: str, end: str, id_col: str, w
 
 
 def trailing(rows: DataFrame, key: str, at: str, amount: str, spans: dict[str, int]) -> DataFrame:
-    """``rows`` with count and sum of the rows of the last so many seconds, both ends included, for each named span."""
-    out = rows
+    """``rows`` with count and sum of the rows of the last so many seconds, both ends included, for each named span.
+
+    Rows are dealt by key and stretch of time, a stretch as long as the longest span, and a
+    stretch sees the one before it besides; so a key of any size is many windows.
+    """
+    width = max(spans.values())
+    stretch = F.floor(F.col(at) / width)
+    out = rows.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_stretch", stretch + F.when(F.col("_own"), 0).otherwise(1))
     for name, seconds in spans.items():
-        w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)
+        w = Window.partitionBy(key, "_stretch").orderBy(at).rangeBetween(-seconds, 0)
         out = out.withColumn(f"n_{name}", F.count("*").over(w)).withColumn(f"sum_{name}", F.round(F.sum(amount).over(w), 4))
-    return out
+    return out.where("_own").drop("_own", "_stretch")
 
 
 def debounced(events: DataFrame, at: str, gap: str, *keys: str, **aggregates: Column) -> DataFrame:
@@ -79,12 +85,6 @@ def last_messages(messages: DataFrame, session: str, order: str, role: str, keep
     return messages.withColumn("_n", F.row_number().over(w)).where(pinned | (F.col("_n") <= keep)).drop("_n")
 
 
-def evictions(entries: DataFrame, capacity: int) -> DataFrame:
-    """``entries`` (``key, hits, last_used``) that a cache of ``capacity`` drops: fewest hits first, then least recent."""
-    most = entries.orderBy(F.desc("hits"), F.desc("last_used"), F.desc("key")).limit(capacity).select("key")
-    return entries.join(most, "key", "left_anti")
-
-
 def expired(rows: DataFrame, at: str, seconds: int, now: Column) -> DataFrame:
     """Rows older than ``seconds`` at ``now``."""
     return rows.where(F.col(at) < now - seconds)

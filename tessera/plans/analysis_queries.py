@@ -297,8 +297,8 @@ _DEAD = f"""scored AS (SELECT *, round(greatest(0, least(1, 1.0::DOUBLE - CASE W
           - CASE WHEN regexp_matches(name, '{n.ENTRY_POINTS}') THEN 0.5::DOUBLE ELSE 0 END
           - CASE WHEN suffix(module, 'Test') OR contains(module, '.Test.') THEN 0.3::DOUBLE WHEN prefix(module, 'Mix.Tasks.') THEN 0.4::DOUBLE ELSE 0 END)), 4) AS confidence
         FROM functions WHERE fn NOT IN (SELECT dst FROM calls)),
-      dead AS (SELECT fn, module, name, arity, visibility, confidence, CASE WHEN confidence > 0.8 THEN 'No callers found, likely dead code'
-          WHEN confidence > 0.5 THEN 'No callers found, but may be entry point or callback' ELSE 'Potential callback or entry point with no callers' END AS reason FROM scored)"""
+      dead AS (SELECT fn, module, name, arity, visibility, confidence, CASE WHEN confidence > 0.8 THEN 'never_called'
+          WHEN confidence > 0.5 THEN 'never_called_may_start_outside' ELSE 'likely_called_from_outside' END AS reason FROM scored)"""
 _DEGREES = """(SELECT dst, count(*) AS n FROM calls GROUP BY dst) i ON i.dst = fn"""
 _QUALITY = r"""q AS (SELECT source || '/' || doc_id AS path, lang AS language, CAST(len(regexp_extract_all(text, '[.]')) % 40 + 1 AS INTEGER) AS cyclomatic,
         CAST(len(regexp_extract_all(text, ',')) % 60 AS INTEGER) AS cognitive, CAST(len(regexp_extract_all(text, chr(10))) % 8 AS INTEGER) AS max_nesting,

@@ -21,9 +21,8 @@ def jaro_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.least(F.size(F.split("text", "\n")), F.lit(20))
-    words = F.least(F.floor(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / 50), F.lit(40))
-    tree = F.to_json(F.array(F.lit("text"), F.lit("meta"), lines.cast("string"), words.cast("string")))
+    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).cast("string"))
+    tree = F.to_json(F.concat(F.array(F.lit("text"), F.lit("meta")), words))  # a leaf a line: its words
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), tree.alias("tree"))
 
 
@@ -55,8 +54,8 @@ def compact_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each document as a context of at most 2,000 characters under its source as heading."""
-    out = x.context_text(F.col("source"), F.col("text"), 2000)
+    """Digest of each document as a context of at most 8,000 characters under its source as heading."""
+    out = x.context_text(F.col("source"), F.col("text"), 8000)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("digest"), F.length(out).alias("n_chars"))
 
 
@@ -65,8 +64,8 @@ QUERIES = {
     for f in (jaro_names, cross_language_equivalents, equivalence_groups, recent_findings, compact_callers, contexts)
 }
 
-_TREES = r"""t AS (SELECT doc_id AS id, lang AS language, least(len(string_split(text, chr(10))), 20) || '/' ||
-        least(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) // 50, 40) AS tree FROM documents)"""
+_TREES = r"""t AS (SELECT doc_id AS id, lang AS language, array_to_string(list_transform(string_split(text, chr(10)),
+        lambda line: len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))), '/') AS tree FROM documents)"""
 
 ORACLE = {
     "jaro_names": """SELECT a.p_partkey, b.p_partkey AS other, round(jaro_similarity(a.p_name, b.p_name), 6) AS score FROM part a JOIN part b
@@ -79,5 +78,5 @@ ORACLE = {
     "compact_callers": sql_with("calls")
     + """, g AS (SELECT dst AS node, list_sort(list(DISTINCT src)) AS c FROM calls GROUP BY dst)
         SELECT node, array_to_string(list_transform(c[1:2], lambda v: CAST(v AS VARCHAR)), ', ') || CASE WHEN len(c) > 2 THEN ', ... ' || (len(c) - 2) || ' more' ELSE '' END AS callers FROM g""",
-    "contexts": """SELECT doc_id, md5(left('## ' || source || chr(10) || text, 2000)) AS digest, CAST(length(left('## ' || source || chr(10) || text, 2000)) AS INTEGER) AS n_chars FROM documents""",
+    "contexts": """SELECT doc_id, md5(left('## ' || source || chr(10) || text, 8000)) AS digest, CAST(length(left('## ' || source || chr(10) || text, 8000)) AS INTEGER) AS n_chars FROM documents""",
 }

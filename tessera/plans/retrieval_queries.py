@@ -10,6 +10,7 @@ from ..functions.vectors import cosine
 from ..operators import graph as g
 from ..operators import retrieval as r
 from ..operators import similarity as s
+from ..session import cut
 from ..sources import adapters as a
 from ..sources.adapters import sql_with, table
 from .graph_queries import pagerank_sql
@@ -19,15 +20,6 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct terms that a document shares with a query."""
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.explode(F.array_distinct(r.terms(F.col("text")))).alias("term")
-    )
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(r.terms(F.col("text")))).alias("term"))
-    return docs.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
-
-
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every vector."""
     return s.nearest(table(spark, sf_dir, "embeddings"), 5).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
@@ -102,7 +94,8 @@ def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and term overlap fused by reciprocal ranks, ten documents an item."""
-    lists = [r.ranked(_bm25(spark, sf_dir), 100), r.ranked(_overlap(spark, sf_dir), 100)]
+    hits = cut(_bm25(spark, sf_dir))
+    lists = [r.ranked(hits, 100), r.ranked(hits.select("query_id", "id", F.col("shared").alias("score")), 100)]
     return r.reciprocal_rank_fusion(lists).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
@@ -125,21 +118,15 @@ def _results(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     return s.nearest(emb, 10)
 
 
-def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    other = emb.select(F.col("vec_id").alias("id"), "label")
-    return emb.join(other, "label").where(F.col("vec_id") != F.col("id")).select(F.col("vec_id").alias("query_id"), "id", F.lit(1).alias("grade"))
-
-
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nDCG, MRR, precision and recall at 10 of the nearest neighbours; the same label is relevant."""
-    return r.macro_average(r.relevance_metrics(_results(spark, sf_dir, 64), _golden(spark, sf_dir)))
+    return r.macro_average(r.label_metrics(_results(spark, sf_dir, 64), table(spark, sf_dir, "embeddings")))
 
 
 def strategy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What using all dimensions changes in the metrics against using the first 32."""
-    golden = _golden(spark, sf_dir)
-    half, whole = (r.macro_average(r.relevance_metrics(_results(spark, sf_dir, d), golden)) for d in (32, 64))
+    items = table(spark, sf_dir, "embeddings")
+    half, whole = (r.macro_average(r.label_metrics(_results(spark, sf_dir, d), items)) for d in (32, 64))
     b = whole.select(*[F.col(c).alias(f"{c}_b") for c in whole.columns])
     return half.join(b).select(*[F.round(F.col(f"{c}_b") - F.col(c), 4).alias(f"{c}_delta") for c in half.columns])
 
@@ -152,11 +139,14 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest boost of each keyword over document texts (doc) and source names (name), and how many documents have it."""
-    docs = table(spark, sf_dir, "documents")
-    by_text = docs.select("doc_id", F.explode(F.array_distinct(lx.text_tokens(F.col("text")))).alias("token"), F.lit(lx.BOOSTS["doc"]).alias("weight"))
-    by_name = docs.select("doc_id", F.explode(F.array_distinct(lx.name_tokens(F.col("source")))).alias("token"), F.lit(lx.BOOSTS["name"]).alias("weight"))
-    one = by_text.unionByName(by_name).groupBy("token", "doc_id").agg(F.max("weight").alias("weight"))
-    return one.groupBy("token").agg(F.max("weight").alias("weight"), F.count("*").alias("n_docs"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.array_distinct(lx.text_tokens(F.col("text"))).alias("text"), F.array_distinct(lx.name_tokens(F.col("source"))).alias("name")
+    )
+    boosted = lambda tokens, kind: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(lx.BOOSTS[kind]).alias("weight")))
+    none = F.array().cast("array<string>")
+    text, name = F.coalesce("text", none), F.coalesce("name", none)
+    each = docs.select(F.inline(F.concat(boosted(text, "doc"), boosted(F.array_except(name, text), "name"))))
+    return each.groupBy("token").agg(F.max("weight").alias("weight"), F.count("*").alias("n_docs"))
 
 
 def string_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +182,7 @@ QUERIES = {
 
 _COS = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 _PAIRS = f"pairs AS (SELECT x.vec_id AS id1, y.vec_id AS id2, x.label AS a, y.label AS b, {_COS.format(a='x.embedding', b='y.embedding')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
-_TERMS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
+_TERMS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = f"""asked AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
     split AS MATERIALIZED (SELECT doc_id AS id, {_TERMS} AS terms FROM documents),
     sizes AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM split),

@@ -108,12 +108,6 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("avg_us", F.floor(F.col("total_us") / F.col("calls")))
 
 
-def cache_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that a cache of 50 entries drops: fewest hits, then least recent."""
-    entries = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("hits"), F.max("ts").alias("last_used"))
-    return t.evictions(entries, 50)
-
-
 def expired_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type older than a day at the last event."""
     ev = table(spark, sf_dir, "events").select("event_type", _seconds(F.col("ts")).alias("at"))
@@ -136,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_runs, line_blocks, asof_enclosing, range_overlap, rate_limit_windows, debounce_sessions, context_budget, message_tail,
-        session_stats, recent_sessions, transitions, usage_cost, telemetry, cache_evictions, expired_usage, stream_counters, stream_usage,
+        session_stats, recent_sessions, transitions, usage_cost, telemetry, expired_usage, stream_counters, stream_usage,
     )
 }
 
@@ -180,8 +174,6 @@ ORACLE = {
         SELECT *, round(CASE event_type {_COST} ELSE 0 END, 6) AS cost FROM s""",
     "telemetry": """WITH b AS (SELECT user_id, count(*) AS calls, CAST(sum(floor(value * 1000)) AS BIGINT) AS total_us, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS last FROM events GROUP BY user_id)
         SELECT *, total_us // calls AS avg_us FROM b""",
-    "cache_evictions": """SELECT key, hits, last_used FROM (SELECT *, row_number() OVER (ORDER BY hits DESC, last_used DESC, key DESC) AS r FROM (
-        SELECT user_id AS key, count(*) AS hits, max(ts) AS last_used FROM events GROUP BY user_id)) WHERE r > 50""",
     "expired_usage": "WITH e AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM events) SELECT event_type, count(*) AS n FROM e WHERE secs < (SELECT max(secs) FROM e) - 86400 GROUP BY event_type",
     "stream_counters": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "stream_usage": """WITH w AS (SELECT event_type, CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS s FROM events)

@@ -1,8 +1,8 @@
 """The graph and code model read out of the given tables, as DataFrames and as SQL.
 
 Nations stand for modules and suppliers for their functions; a module imports the
-three modules it trades with most; a function calls the two functions that most often
-follow it inside an order.  ``SQL`` has the same tables as common table expressions.
+three modules it trades with most; a function calls every function that follows it
+inside an order, with the number of times as weight.  ``SQL`` has the same tables as common table expressions.
 """
 
 from __future__ import annotations
@@ -70,13 +70,12 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, weight``: each function's two most frequent followers within an order."""
+    """``src, dst, weight``: each function's followers within an order, and how often."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(line).alias("dst")
     )
-    pairs = steps.where(F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    return top_per(pairs, "src", 2, F.desc("weight"), F.asc("dst"))
+    return steps.where(F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +120,9 @@ _PARTS = {
     ),
     "calls": (
         (),
-        """SELECT src, dst, weight FROM (
-             SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM (
-               SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
-                 SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-                 FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2)) WHERE place <= 2""",
+        """SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
+             SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
+             FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2""",
     ),
     "module_calls": (
         ("functions", "calls"),

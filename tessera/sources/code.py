@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# File extensions by language and path parts that are left out.
+# File extensions by language.
 LANGUAGES = {
     "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "py": "python", "js": "javascript", "jsx": "javascript",
     "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "rb": "ruby", "hs": "haskell",
 }
-EXCLUDED = ("_build", "deps", "node_modules", ".git", "dist", "build", "target", "vendor", "__pycache__", ".venv", "venv", "coverage", "tmp")
+# Patterns of paths that are left out.
+EXCLUDED = (
+    "node_modules", ".git", ".hg", ".svn", "_build", "deps", "target", "dist", "build", "coverage", ".elixir_ls", "__pycache__",
+    ".pytest_cache", ".mypy_cache", ".bundle", "vendor/bundle",
+)
 
 ENTITIES = "path string, kind string, module string, name string, arity int, line int, visibility string, target string, error string"
 
@@ -30,26 +34,21 @@ def language(path: Column) -> Column:
 def scan(spark: SparkSession, folder: str, exclude: tuple[str, ...] = EXCLUDED, max_depth: int = 10) -> DataFrame:
     """``path, language, size, modified, hash, content`` of the source files under a folder.
 
-    Hidden files, excluded folders, other extensions and files deeper than
-    ``max_depth`` are left out.  ``content`` has U+FFFD for bytes that are no UTF-8.
+    Hidden files, paths that hold an excluded pattern, other extensions and files deeper
+    than ``max_depth`` are left out.  ``content`` has U+FFFD for bytes that are no UTF-8.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     below = F.substring_index("path", folder.rstrip("/").split(":", 1)[-1] + "/", -1)
     parts = F.split(below, "/")
     hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
-    left_out = F.exists(parts, lambda p: p.isin(*exclude))
+    left_out = F.exists(F.array(*[F.lit(x) for x in exclude]).cast("array<string>"), lambda x: F.contains(below, x))
     kept = files.where(language(F.col("path")).isNotNull() & ~hidden & ~left_out & (F.size(parts) <= max_depth))
     return kept.select(
         below.alias("path"), language(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("hash"), _repaired(F.col("content")).alias("content"),
+        F.sha2("content", 256).alias("hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(content):
-    return content.map(lambda b: bytes(b).decode("utf-8", "replace"))
-
-
 def changed(current: DataFrame, tracked: DataFrame) -> DataFrame:
     """``path, status`` against the tracked ``path, hash``: new, changed, unchanged or deleted."""
     old = tracked.select(F.col("path").alias("_path"), F.col("hash").alias("_hash"))

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 
-#: Extensions of the files that a watcher follows.
-WATCHED = (".ex", ".exs", ".erl", ".hrl", ".py", ".js", ".jsx", ".ts", ".tsx", ".rb")
+# Extensions of the files that a watcher follows.
+WATCHED = (".ex", ".exs", ".erl", ".hrl", ".py", ".js", ".jsx", ".ts", ".tsx", ".mjs")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def refresh(stream: DataFrame, stored: Callable[[], DataFrame], key: str, apply:
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is and return its result, kept as a table in the shared folder."""
+    """Run a stream over all there is and return its result, checkpointed; the stream's own folder is removed."""
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -90,4 +90,7 @@ def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rows = cut(spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return rows

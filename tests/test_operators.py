@@ -232,11 +232,9 @@ def test_budget_and_tail(spark):
     assert sorted(r.turn for r in timeline.last_messages(df, "s", "turn", "role", 1).collect()) == [0, 4]
 
 
-def test_islands_and_evictions(spark):
+def test_islands(spark):
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate([None, None, "a", "a", None])], "k string, t int, v string")
     assert sorted((r.first, r.last, r.n) for r in timeline.islands(df, "k", ["t"], "v").collect()) == [(0, 1, 2), (2, 3, 2), (4, 4, 1)]
-    cache = spark.createDataFrame([("a", 5, 1), ("b", 1, 9), ("c", 1, 2)], "key string, hits int, last_used int")
-    assert [r.key for r in timeline.evictions(cache, 2).collect()] == ["c"]
 
 
 def test_equivalence(spark):
@@ -325,3 +323,40 @@ def test_user_sessions_stream(spark, sf_dir):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
     out = streams.finished(streams.user_sessions(streams.event_stream(spark, sf_dir)), "append")
     assert 0 < out.select("user_id").distinct().count() <= batch
+
+
+BAD_VECTORS = [(90, None), (91, [1.0, None, 0.0]), (92, [float("nan"), 1.0, 0.0]), (93, [float("inf"), 1.0, 0.0]), (94, [1.0]), (95, []), (None, [1.0, 0.0, 0.0])]
+
+
+def test_searches_leave_bad_vectors_out(spark):
+    good = [(i, [float(i), 1.0, float(i % 3)]) for i in range(9)] + [(20, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(good + BAD_VECTORS, "vec_id int, embedding array<double>")
+    clean = spark.createDataFrame(good, "vec_id int, embedding array<double>")
+    for block in (2, 2048):
+        want = {(r.query_id, r.rank, r.id, r.score) for r in similarity.nearest(clean, 3).collect()}
+        assert {(r.query_id, r.rank, r.id, r.score) for r in similarity.nearest(df, 3, block=block).collect()} == want and len(want) == 30
+        pairs = {(r.id1, r.id2) for r in similarity.similar_pairs(df, 0.9, block=block).collect()}
+        assert pairs == {(r.id1, r.id2) for r in similarity.similar_pairs(clean, 0.9).collect()} and pairs
+    none = df.where("false")
+    assert similarity.nearest(none, 3).count() == similarity.similar_pairs(none, 0.5).count() == 0
+    assert similarity.nearest(df.where("vec_id >= 90"), 3).count() == 0
+
+
+def test_trailing_windows_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 3000), float(rng.randint(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, at long, amount double")
+    for r in timeline.trailing(df, "k", "at", "amount", {"short": 10, "long": 200}).collect():
+        for name, span in (("short", 10), ("long", 200)):
+            seen = [v for _, k, at, v in rows if k == r.k and r.at - span <= at <= r.at]
+            assert (r[f"n_{name}"], r[f"sum_{name}"]) == (len(seen), sum(seen))
+
+
+def test_label_metrics_are_those_of_the_pairs(spark):
+    items = spark.createDataFrame([(i, "xyzw"[min(i % 4, 2)] if i else "w") for i in range(30)], "vec_id int, label string")
+    results = spark.createDataFrame([(q, r, (q * 7 + r * r) % 31) for q in range(30) for r in range(1, 13)], "query_id int, rank int, id int").where("query_id <> id")
+    pairs = items.alias("a").join(items.alias("b"), "label").where("a.vec_id <> b.vec_id").selectExpr("a.vec_id AS query_id", "b.vec_id AS id", "1 AS grade")
+    rows = lambda df: sorted((r.query_id, round(r.ndcg, 5), r.mrr, r.precision, round(r.recall, 9)) for r in df.collect())
+    assert rows(retrieval.label_metrics(results, items)) == rows(retrieval.relevance_metrics(results, pairs))
