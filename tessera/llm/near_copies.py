@@ -10,8 +10,8 @@ less often.  Every candidate is decided by the exact similarity of the two sets.
 
 A bucket of near copies must not become all its pairs.  So a bucket's nodes are first
 compared with its most usual one, that with the least share of shingles which stand in no
-other set, and those in other components than it are compared once more with the most
-usual of their own.  What is still apart after that is completed by prefixes.  With the
+other set, and those that it does not link are compared once more with the most usual of
+their own.  What is still apart after that is completed by prefixes.  With the
 rarest shingles first, two sets of a similarity of 0.8 share a shingle so early in both
 that enough of each is left after it; so a copy with many shingles of its own meets only
 those that share one of these.  Nodes of different components are compared if they share
@@ -186,21 +186,20 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     alone = rare.where("place = alone").select("node", F.expr("alone / n").alias("alone"))
     placed = met.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(1.0)))
 
-    links = groups = None
+    # each bucket's nodes against its most usual one, then those that it does not link against the most usual of them
+    links, apart = None, placed
     for _ in range(2):
-        now = placed.withColumn("component", F.col("node"))
-        if groups is not None:
-            now = placed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pivot = now.groupBy("bucket").agg(F.min(F.struct("alone", "node", "component")).alias("_p"), F.max("component").alias("_high"), F.min("component").alias("_low"))
-        pivot = cut(pivot.where("_low < _high").select("bucket", F.col("_p.node").alias("a"), F.col("_p.component").alias("_home")))
-        apart = cut(now.join(pivot, "bucket").where("component <> _home").select("bucket", "a", F.col("node").alias("b"), "alone"))
-        pairs = apart.select("a", "b")
-        found = cut(_linked((pairs if links is not None else pairs.unionByName(trees)).distinct(), sets))
+        pivot = apart.groupBy("bucket").agg(F.min(F.struct("alone", "node")).alias("_p"), F.max("node").alias("_high"), F.min("node").alias("_low"))
+        pivot = cut(pivot.where("_low < _high").select("bucket", F.col("_p.node").alias("a")))
+        asked = cut(apart.join(pivot, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b"), "alone"))
+        pairs = asked.select("a", "b")
+        found = cut(_linked((pairs.unionByName(trees) if links is None else pairs).distinct(), sets))
         links = found if links is None else links.unionByName(found)
-        groups = cut(connected_components(links, "a", "b"))
-        placed = apart.select("bucket", F.col("b").alias("node"), "alone")  # next, the most usual of those that were apart
-    links = links.unionByName(_linked(_prefix_pairs(rare.where("5L * place <= n").select("node", "n", "place", "token"), groups), sets))
-    groups = connected_components(cut(links), "a", "b")
+        apart = asked.join(found, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("node"), "alone")
+    groups = cut(connected_components(links, "a", "b"))
+    more = cut(_linked(_prefix_pairs(rare.where("5L * place <= n").select("node", "n", "place", "token"), groups), sets))
+    if more.limit(1).count():
+        groups = connected_components(links.unionByName(more), "a", "b")
 
     named = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named)
