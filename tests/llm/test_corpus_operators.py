@@ -213,6 +213,43 @@ def test_exact_topk_against_brute_force(spark):
         assert set(got) == set(range(0, 420, 50))
 
 
+def test_exact_topk_of_large_numbers_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 4)) * 10.0 ** rng.integers(-2, 12, (120, 1))
+    x[7], x[8], x[50] = 1e17, -1e17, [1e17, 1e17, 1.0, -1e17]
+    x[9] = 1.7e308
+    x[10] = x[11]
+    rows = [(min(i, 110), [float(c) for c in v]) for i, v in enumerate(x)]  # the last ten share an id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS h", "2 AS cell", "3 AS score")
+    top = int(np.finfo(float).max)
+    q = [[max(-top, min(top, int(np.floor(256 * int(c) if abs(c) > 2**53 else 256 * c)))) for c in v] for _, v in rows]
+    out = {}
+    for r in sorted(cover_tree.exact_topk(df, F.col("vec_id") % 50 == 0, row_block=25, first_block=20).collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for i in (0, 50, 100):
+        score = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q[i], other)))) for other in q]
+        want = sorted(((-s, rows[j][0]) for j, s in enumerate(score) if rows[j][0] != i))[:5]
+        assert out[i] == [(j, -s) for s, j in want]
+
+
+def test_blocks_of_rows_are_left_out(spark):
+    """Queries near one cluster meet few of the blocks of the others."""
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(12, 6)) * 3
+    x = (centres[:, None] + rng.normal(size=(12, 40, 6)) / 100).reshape(-1, 6).astype(np.float32)
+    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    out = cover_tree.exact_topk(vectors_of(spark, x), F.col("vec_id") % 50 == 0, row_block=40, first_block=480).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for i in range(0, 480, 50):
+        s = q @ q[i]
+        assert got[i] == [(j, s[j]) for j in [j for j in np.lexsort((np.arange(480), -s)) if j != i][:5]]
+    norms, radii = np.sqrt((centres**2).sum(axis=1)), np.full(12, 0.05)
+    bounds = cover_tree.pair_bounds(centres @ centres.T, norms, norms, radii, radii)
+    assert (bounds < (norms**2 - 2)[:, None]).mean() > 0.5
+
+
 def test_exact_topk_few_and_none(spark):
     few = cover_tree.exact_topk(vectors_of(spark, np.eye(3)), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(few)] == [(1, 1, 0), (2, 2, 0)]
@@ -261,6 +298,21 @@ def test_learned_partitions(spark):
     assert learned_partitions.approximate_topk(vectors_of(spark, x[:0]), F.col("vec_id") == 0).count() == 0
 
 
+def test_learned_partitions_find_k_whatever_the_parts(spark):
+    rng = np.random.default_rng(14)
+    x = np.vstack([rng.normal(size=(240, 8)), np.tile(rng.normal(size=(1, 8)) * 9, (60, 1))]).astype(np.float32)  # many ties
+    rows = [(min(i, 297), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS part", "2 AS id")
+    for n, k in ((300, 20), (300, 250), (12, 20)):
+        some = df.where(F.col("vec_id") < n)
+        out, by = learned_partitions.approximate_topk(some, F.col("vec_id") % 20 == 0, k=k, sample_rows=250).collect(), {}
+        for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+            by.setdefault(r.query_id, []).append(r)
+        for i, hits in by.items():
+            others = sum(j != i for j, _ in rows if j < n)
+            assert len(hits) == min(k, others) and [(-r.score, r.vec_id) for r in hits] == sorted((-r.score, r.vec_id) for r in hits)
+
+
 def test_recall_on_the_given_vectors(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
