@@ -6,13 +6,15 @@ its share; a small classifier learns the parts from the vectors.  Every row is i
 under the part that the classifier finds likeliest, and a query is sent to its most
 probable parts, whose rows are ranked by their exact inner products.  How many parts a
 query visits is settled on the sample, so that the neighbours found there reach
-``recall``.  A part of any size is searched whole, in blocks of bounded size.
+``recall``, and a query goes on to further parts until those it visits hold over k rows
+or there are no more.  A part of any size is searched whole, in blocks of bounded size.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or
 rows without an id, take no part; nor do those shorter or longer than the most usual
-length; a query's own row is the one with its id; with fewer candidates than k all are
-returned if the parts hold them (with a single part they do); empty tables give an
-empty result.
+length; a query's own row is the one with its id; rows that repeat an id all count, but
+those that repeat a query's id are not its candidates; ties go to the smaller id; with
+fewer candidates than k all are returned; other columns are ignored; empty tables give
+an empty result.
 """
 
 from __future__ import annotations
@@ -162,15 +164,16 @@ def approximate_topk(
     vector_col: str = "embedding",
     sample_rows: int = 4096,
     rows_per_part: int = 2048,
-    max_parts: int = 64,
+    max_parts: int = 256,
     row_block: int = 8192,
     query_block: int = 4096,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each query.
 
-    The router is fitted on at most ``sample_rows`` rows, those with the smallest hash
-    of their id; every row is indexed.  A table of n rows has n / ``rows_per_part``
-    parts, 8 at least and ``max_parts`` at most.
+    A table of n rows has n / ``rows_per_part`` parts, 8 at least and ``max_parts`` at most.
+    The router is fitted on ``sample_rows`` rows, or 64 a part if that is more (so at most
+    ``64 * max_parts`` by default), those with the smallest hash of their id; every row is
+    indexed.
     """
     clean = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")
@@ -182,27 +185,39 @@ def approximate_topk(
     if usual is None or not usual.queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == usual.n)
-    drawn = rows.orderBy("h", "id").limit(sample_rows).select("v").collect()  # at most sample_rows vectors
     parts = int(np.clip(usual.rows // rows_per_part, 8, max_parts))
+    drawn = rows.orderBy("h", "id").limit(max(sample_rows, 64 * parts)).select("v").collect()  # bounded by max_parts
     router = fit_router(np.array([r.v for r in drawn]), parts, k, recall)
     visits = router.visits
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batch: pa.RecordBatch) -> np.ndarray:
+        """The parts of each row, the most probable first."""
+        return np.argsort(-router.logits(dense(batch.column(1))), axis=1, kind="stable").astype(np.int32)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(-router.logits(dense(batch.column(1))), axis=1, kind="stable").astype(np.int32)
-            seen = [o[: visits if q else 1] for o, q in zip(order, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int32()))], ["id", "v", "is_query", "h", "parts"])
-
-    routed = cut(rows.select("id", "v", "is_query", "h").mapInArrow(route, "id long, v array<double>, is_query boolean, h long, parts array<int>"))
-    home = F.element_at("parts", 1).alias("part")
-    held = routed.select("id", "v", "h", home)
-    # how many blocks each part's rows and queries take; a row for each part
-    blocks = held.groupBy("part").agg(F.ceil(F.count("*") / row_block).cast("int").alias("rbs"))
-    asked = routed.where("is_query").select("id", "v", "h", F.explode("parts").alias("part"))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likely(batch)[:, 0])], ["id", "v", "is_query", "h", "part"])
+
+    held = cut(rows.select("id", "v", "is_query", "h").mapInArrow(home, "id long, v array<double>, is_query boolean, h long, part int"))
+    # how many rows each part holds, and how many blocks they take; a row for each part
+    blocks = cut(held.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / row_block).cast("int").alias("rbs")))
+    size = np.zeros(router.parts, np.int64)
+    for r in blocks.collect():  # max_parts rows at most
+        size[r.part] = r.n
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = likely(batch)
+                enough = (np.cumsum(size[order], axis=1) <= k).sum(axis=1) + 1  # parts that hold over k rows, the query's own among them
+                seen = [o[: max(visits, n)] for o, n in zip(order, enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int32()))], ["id", "v", "h", "parts"])
+
+    routed = held.where("is_query").select("id", "v", "h").mapInArrow(visit, "id long, v array<double>, h long, parts array<int>")
+    asked = cut(routed.select("id", "v", "h", F.explode("parts").alias("part")))
     query_blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("qbs"))
-    grid = F.broadcast(cut(blocks.join(query_blocks, "part")))  # max_parts rows at most
+    grid = F.broadcast(cut(blocks.drop("n").join(query_blocks, "part")))  # max_parts rows at most
     left = (
         asked.join(grid, "part")
         .withColumn("qb", F.pmod("h", F.col("qbs")).cast("int"))
