@@ -77,6 +77,36 @@ def blend(hits: DataFrame, scores: DataFrame, alpha: float = 0.6, missing: float
     return ranked(top.select("query_id", "id", F.round(mixed, 6).alias("score")))
 
 
+def packed_ranges(hits: DataFrame, budget: int = 8000, overlap: float = 0.6) -> DataFrame:
+    """``query_id, rank, id, start, end, size`` of the pieces that fit, best first, without those that repeat lines.
+
+    Takes ``query_id, rank, id, start, end, size`` (lines, both ends included, and bytes) with a bounded number of
+    pieces a query.  A piece that does not fit is skipped, and so is one that shares over ``overlap`` of the lines of
+    the shorter of the two with a piece of the same ``id`` that is taken already.
+    """
+    piece = "struct<rank: int, id: bigint, start: int, `end`: int, size: bigint>"
+    columns = [F.col(c).cast(k).alias(c) for c, k in (("rank", "int"), ("id", "bigint"), ("start", "int"), ("end", "int"), ("size", "bigint"))]
+    items = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+
+    def take(acc: Column, x: Column) -> Column:
+        def shares(y: Column) -> Column:
+            lines = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) + 1
+            shorter = F.least(x["end"] - x["start"], y["end"] - y["start"]) + 1
+            return (x["id"] == y["id"]) & (lines > overlap * shorter)
+
+        fits = (acc["used"] + x["size"] <= budget) & ~F.exists(acc["kept"], shares)
+        return F.when(fits, F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+
+    none = F.from_json(F.lit('{"used": 0, "kept": []}'), f"struct<used: bigint, kept: array<{piece}>>")
+    return items.select("query_id", F.inline(F.aggregate("items", none, take)["kept"]))
+
+
+def scoped(hits: DataFrame, items: DataFrame, scope: dict[str, object]) -> DataFrame:
+    """Hits whose item has all the values of ``scope``; items are ``id`` and any columns."""
+    condition = reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in scope.items()], F.lit(True))
+    return hits.join(items.where(condition).select("id"), "id", "left_semi")
+
+
 def packed(hits: DataFrame, budget: int = 8000) -> DataFrame:
     """``query_id, rank, id, size`` of the hits that fit, best first; one that does not fit is skipped and later ones may.
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
+
 
 def _unit(column) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -91,3 +93,23 @@ def nearest(
     hits = _block_pairs(vectors, id_col, vector_col, block, False).applyInArrow(compare, f"query_id {kind}, id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def search(
+    vectors: DataFrame, probe: Column, limit: int = 10, *, include_chunks: bool = False, node_type: str | None = None, digits: int = 6
+) -> DataFrame:
+    """``id, node_type, chunk_parent, score`` of the ``limit`` rows of largest cosine to a vector, ties to the smaller id.
+
+    Rows are ``id, node_type, embedding, parent``.  Chunks take no part unless they are asked for, as a type or by
+    ``include_chunks``, and then at most ``2 * limit`` of them; ``chunk_parent`` is null for what is no chunk.
+    """
+    rows = vectors.where(usable(F.col("embedding"))).where(F.size("embedding") == F.size(probe))
+    is_chunk = F.col("node_type") == "chunk"
+    scored = rows.select(
+        "id", "node_type", F.when(is_chunk, F.col("parent")).alias("chunk_parent"), F.round(cosine(F.col("embedding"), probe), digits).alias("score")
+    )
+    best = lambda df, n: df.orderBy(F.desc("score"), "id").limit(n)
+    if node_type is not None:
+        return best(scored.where(F.col("node_type") == node_type), limit)
+    entities = best(scored.where(~is_chunk), limit)
+    return best(entities.unionByName(best(scored.where(is_chunk), 2 * limit)), limit) if include_chunks else entities

@@ -98,3 +98,26 @@ def newest_per(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFr
     """The first ``n`` rows of each key."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def find_functions(functions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each ``module, name`` of ``wanted`` the function of that name with the smallest arity, if there is one."""
+    rest = [c for c in functions.columns if c not in ("module", "name")]
+    first = functions.join(wanted.select("module", "name").distinct(), ["module", "name"], "left_semi").groupBy("module", "name").agg(
+        F.min_by(F.struct(*rest), F.struct("arity", "fn")).alias("_row")
+    )
+    return first.select("module", "name", *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def tracker_stats(status: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row of counts over ``path, status`` of tracked files (``new`` ones are not tracked) and ``path`` of their entities.
+
+    Entities of files that changed or were deleted are stale.
+    """
+    tracked = status.where("status <> 'new'")
+    files = tracked.agg(
+        F.count("*").alias("total_files"), *[F.count_if(F.col("status") == s).alias(f"{s}_files") for s in ("changed", "unchanged", "deleted")]
+    )
+    owned = entities.select("path").join(tracked, "path")
+    held = owned.agg(F.count("*").alias("total_entities"), F.count_if(F.col("status").isin("changed", "deleted")).alias("stale_entities"))
+    return files.join(held)

@@ -120,8 +120,12 @@ def module_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The import graph as JSON lines."""
-    return g.export_d3(a.imports(spark, sf_dir))
+    """The import graph as JSON lines, read again: nodes with rank, degree and community, links with their weight."""
+    j = lambda c: F.get_json_object("json", f"$.{c}")
+    return g.export_d3(a.imports(spark, sf_dir)).select(
+        "kind", F.coalesce(j("id"), j("source")).alias("id"), j("target").alias("target"), F.coalesce(j("pagerank"), j("weight")).cast("double").alias("value"),
+        j("degree").cast("long").alias("degree"), j("community").alias("community"),
+    )
 
 
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,5 +262,25 @@ ORACLE = {
           SELECT round((SELECT sum(weight) FILTER (a = b) / sum(weight) FROM n) - (SELECT sum(degree * degree) FROM d) / (2 * pow((SELECT sum(weight) FROM n), 2)), 6) AS modularity""",
     "label_propagation": sql_with("calls") + ", " + _label_sql(5) + " SELECT node, label FROM l5",
     "communities": sql_with("calls") + ", " + _moves_sql(4) + " SELECT node, community FROM c4",
+    "supply_components": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem),
+          near AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+          hops AS (SELECT a AS s, least(a, min(b)) AS label FROM near GROUP BY a),
+          h1 AS MATERIALIZED (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN hops h ON n.b = h.s JOIN hops o ON n.a = o.s GROUP BY n.a),
+          h2 AS MATERIALIZED (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN h1 h ON n.b = h.s JOIN h1 o ON n.a = o.s GROUP BY n.a),
+          h3 AS MATERIALIZED (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN h2 h ON n.b = h.s JOIN h2 o ON n.a = o.s GROUP BY n.a),
+          h4 AS MATERIALIZED (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN h3 h ON n.b = h.s JOIN h3 o ON n.a = o.s GROUP BY n.a),
+          h5 AS MATERIALIZED (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN h4 h ON n.b = h.s JOIN h4 o ON n.a = o.s GROUP BY n.a),
+          h6 AS (SELECT n.a AS s, least(min(h.label), min(o.label)) AS label FROM near n JOIN h5 h ON n.b = h.s JOIN h5 o ON n.a = o.s GROUP BY n.a)
+          SELECT label AS component, count(*) AS nodes FROM h6 GROUP BY label""",
+    "graph_export": sql_with("imports", recursive=True) + ", " + pagerank_sql("imports", 10)
+    + """, d AS (SELECT node, sum(n) AS degree FROM (SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src UNION ALL SELECT dst, count(DISTINCT src) FROM imports GROUP BY dst) GROUP BY node),
+          near AS (SELECT src AS a, dst AS b FROM imports UNION SELECT dst, src FROM imports),
+          r AS (SELECT a AS node, a AS other FROM near UNION SELECT r.node, near.b FROM r JOIN near ON r.other = near.a),
+          c AS (SELECT node, min(other) AS community FROM r GROUP BY node)
+          SELECT 'node' AS kind, node AS id, NULL AS target, round(score, 6) AS value, CAST(degree AS BIGINT) AS degree, community FROM p10 JOIN d USING (node) JOIN c USING (node)
+          UNION ALL SELECT 'link', src, dst, weight, NULL, NULL FROM imports""",
+    "graph_dot": sql_with("imports") + ", " + pagerank_sql("imports", 10)
+    + """ SELECT '"' || node || '" [intensity=' || format('{:.3f}', score / max(score) OVER ()) || '];' AS line FROM p10
+          UNION ALL SELECT '"' || src || '" -> "' || dst || '" [penwidth=' || format('{:.2f}', 1 + 2 * (weight - 1)) || '];' FROM imports""",
     "module_adjacency": sql_with("module_dependencies") + " SELECT src, dst FROM module_dependencies",
 }

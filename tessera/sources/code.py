@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,3 +153,38 @@ def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     edges = defines.unionByName(imports).unionByName(calls).distinct().withColumn("weight", F.lit(1.0))
     return modules.unionByName(functions).distinct(), edges
+
+
+_QUOTED = r"\"(?:[^\"\\]|\\.)*\""
+_EITHER = _QUOTED + r"|'(?:[^'\\]|\\.)*'"
+# How the languages write strings and comments.
+STRINGS = {"elixir": _QUOTED, "erlang": _QUOTED, "python": _EITHER, "javascript": _EITHER + r"|`(?:[^`\\]|\\.)*`"}
+COMMENTS = {"elixir": r"^\s*#\s*(.*)$", "erlang": r"^\s*%+\s*(.*)$", "python": r"^\s*#\s*(.*)$", "javascript": r"^\s*//\s*(.*)$"}
+
+
+def _by_language(patterns: dict[str, str], expression) -> Column:
+    out = None
+    for name, pattern in patterns.items():
+        out = (F if out is None else out).when(F.col("language") == name, expression(F.lit(pattern)))
+    return out
+
+
+def _numbered(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    lines = files.where(F.col("language").isin(*patterns)).select("path", "language", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    return lines.withColumn("line", F.col("line") + 1)
+
+
+def string_literals(files: DataFrame, least: int = 3) -> DataFrame:
+    """``path, line, content`` of quoted strings of ``least`` characters or more in files ``path, language, content``."""
+    found = _numbered(files, STRINGS).select("path", "line", F.explode(_by_language(STRINGS, lambda p: F.regexp_extract_all("text", p, F.lit(0)))).alias("content"))
+    return found.withColumn("content", F.regexp_replace("content", r"^[\"'`]+|[\"'`]+$", "")).where(F.length("content") >= least)
+
+
+def comment_blocks(files: DataFrame) -> DataFrame:
+    """``path, line, content``: comment lines, those right below each other as one; ``line`` is the last of them."""
+    said = F.trim(_by_language(COMMENTS, lambda p: F.get(F.regexp_extract_all("text", p, F.lit(1)), F.lit(0))))
+    lines = _numbered(files, COMMENTS).select("path", "line", said.alias("content")).where(F.length("content") > 0)
+    w = Window.partitionBy("path").orderBy("line")
+    blocks = lines.withColumn("_block", F.col("line") - F.row_number().over(w)).groupBy("path", "_block")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), " ")
+    return blocks.agg(F.max("line").alias("line"), joined.alias("content")).drop("_block")

@@ -71,3 +71,22 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, id, grade`` of a JSON list of queries with their relevant items; grades are 1 by default."""
     rows = spark.read.schema(GOLDEN_SCHEMA).option("multiLine", "true").json(path)
     return rows.select(F.col("query").alias("query_id"), F.explode("relevant").alias("r")).select("query_id", F.concat_ws(":", "r.type", "r.id").alias("id"), F.coalesce("r.grade", F.lit(1)).alias("grade"))
+
+
+REQUEST_SCHEMA = "number int, title string, state string, mergeCommit struct<oid: string>, comments array<struct<path: string, line: int, body: string>>"
+
+
+def pull_requests(rows: DataFrame, known: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Requests ``number, title, state, sha`` and comments ``number, path, line, body`` of JSON text in ``value``, a request a row.
+
+    Only numbers above ``known`` count, as the rest were read before.
+    """
+    parsed = rows.select(F.from_json("value", REQUEST_SCHEMA).alias("r")).where(F.col("r.number") > known).select("r.*")
+    requests = parsed.select("number", "title", "state", F.col("mergeCommit.oid").alias("sha"))
+    return requests, parsed.select("number", F.inline("comments"))
+
+
+def blame_requests(blame: DataFrame, requests: DataFrame) -> DataFrame:
+    """Blamed lines (any columns, ``sha`` among them) with ``pr_number, pr_title`` of the request that their commit merged; null without one."""
+    merged = requests.where(F.col("sha").isNotNull()).groupBy("sha").agg(F.min_by(F.struct("number", "title"), "number").alias("_r"))
+    return blame.join(merged, "sha", "left").select(*blame.columns, F.col("_r.number").alias("pr_number"), F.col("_r.title").alias("pr_title"))

@@ -360,3 +360,68 @@ def test_label_metrics_are_those_of_the_pairs(spark):
     pairs = items.alias("a").join(items.alias("b"), "label").where("a.vec_id <> b.vec_id").selectExpr("a.vec_id AS query_id", "b.vec_id AS id", "1 AS grade")
     rows = lambda df: sorted((r.query_id, round(r.ndcg, 5), r.mrr, r.precision, round(r.recall, 9)) for r in df.collect())
     assert rows(retrieval.label_metrics(results, items)) == rows(retrieval.relevance_metrics(results, pairs))
+
+
+def test_packing_skips_pieces_that_repeat_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(q, r, rng.randint(1, 3), s := rng.randint(1, 60), s + rng.randint(0, 30), rng.randint(10, 90)) for q in range(8) for r in range(1, 21)]
+    df = spark.createDataFrame(rows, "query_id int, rank int, id long, start int, end int, size long")
+    want = set()
+    for q in range(8):
+        used, kept = 0, []
+        for _, r, i, s, e, size in [x for x in rows if x[0] == q]:
+            repeats = any(i == j and min(e, f) - max(s, t) + 1 > 0.6 * (min(e - s, f - t) + 1) for j, t, f in kept)
+            if used + size <= 400 and not repeats:
+                used, kept = used + size, [*kept, (i, s, e)]
+                want.add((q, r))
+    assert {(r.query_id, r.rank) for r in retrieval.packed_ranges(df, 400).collect()} == want and len(want) < len(rows)
+
+
+def test_affected_tests_and_names(spark):
+    fns = spark.createDataFrame([(1, "A", "core", 0), (2, "B", "use", 1), (3, "BTest", "checks", 0), (4, "C", "test_all", 0), (5, "C", "use", 2), (6, "B", "use", 0)], "fn int, module string, name string, arity int")
+    calls = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 1)], "src int, dst int")
+    target = spark.createDataFrame([(1,)], "node int")
+    assert sorted((r.fn, r.level) for r in analysis.affected_tests(calls, fns, target).collect()) == [(3, 2), (4, 3)]
+    assert sorted(r.fn for r in analysis.affected_tests(calls, fns, target, depth=3).collect()) == [3]
+    wanted = spark.createDataFrame([("B", "use"), ("Z", "none")], "module string, name string")
+    assert [(r.fn, r.arity) for r in store.find_functions(fns, wanted).collect()] == [(6, 0)]
+
+
+def test_smells_and_trackers(spark):
+    rows = spark.createDataFrame([("a", 51, 4, 6, 15), ("b", 50, 5, 5, 99)], "path string, statements int, nesting int, parameters int, cognitive int")
+    assert sorted((r.path, r.smell, r.over) for r in analysis.smells(rows).collect()) == [("a", "parameters", 1), ("a", "statements", 1), ("b", "cognitive", 84), ("b", "nesting", 1)]
+    status = spark.createDataFrame([("a", "changed"), ("b", "unchanged"), ("c", "deleted"), ("d", "new")], "path string, status string")
+    entities = spark.createDataFrame([("a",), ("a",), ("b",), ("d",)], "path string")
+    assert store.tracker_stats(status, entities).first().asDict() == {
+        "total_files": 3, "changed_files": 1, "unchanged_files": 1, "deleted_files": 1, "total_entities": 3, "stale_entities": 2,
+    }
+    none = store.tracker_stats(status.where("false"), entities).first()
+    assert none.total_files == none.stale_entities == 0
+
+
+def test_strings_and_comments(spark):
+    python = "# one\n# two\nx = 'abc' + \"de\"\n\n  # three\ny = \"a \\\" b\""
+    script = "// first\nlet s = `tpl ${x}`, t = 'it'\n# no comment"
+    df = spark.createDataFrame([("p", "python", python), ("j", "javascript", script), ("r", "ruby", "# x")], "path string, language string, content string")
+    assert sorted((r.path, r.line, r.content) for r in code.string_literals(df).collect()) == [("j", 2, "tpl ${x}"), ("p", 3, "abc"), ("p", 6, 'a \\" b')]
+    assert sorted((r.path, r.line, r.content) for r in code.comment_blocks(df).collect()) == [("j", 1, "first"), ("p", 2, "one two"), ("p", 5, "three")]
+
+
+def test_requests_of_blamed_lines(spark):
+    rows = [json.dumps({"number": i, "title": f"t{i}", "state": "MERGED", "mergeCommit": {"oid": s}, "comments": [{"path": "f", "line": i, "body": "b"}]}) for i, s in [(1, "x"), (2, "x"), (3, "y")]]
+    rows += [json.dumps({"number": 4, "title": "open", "state": "OPEN", "mergeCommit": None, "comments": []})]
+    requests, comments = documents.pull_requests(spark.createDataFrame([(r,) for r in rows], "value string"), known=1)
+    assert sorted(r.number for r in requests.collect()) == [2, 3, 4] and sorted(r.line for r in comments.collect()) == [2, 3]
+    blame = spark.createDataFrame([("f", 1, "x"), ("f", 2, "z")], "file string, line int, sha string")
+    assert sorted((r.line, r.pr_number) for r in documents.blame_requests(blame, requests).collect()) == [(1, 2), (2, None)]
+
+
+def test_search_leaves_chunks_out_unless_asked_for(spark):
+    rows = [(i, "chunk" if i % 2 else "function", [1.0, i / 10], i - 1) for i in range(1, 30)] + [(99, "function", None, 0)]
+    df = spark.createDataFrame(rows, "id int, node_type string, embedding array<double>, parent int")
+    probe = F.array(F.lit(1.0), F.lit(0.0))
+    assert [r.id for r in similarity.search(df, probe, 3).collect()] == [2, 4, 6]
+    assert [(r.id, r.chunk_parent) for r in similarity.search(df, probe, 3, include_chunks=True).collect()] == [(1, 0), (2, None), (3, 2)]
+    assert [r.id for r in similarity.search(df, probe, 2, node_type="chunk").collect()] == [1, 3]
