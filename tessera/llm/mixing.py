@@ -7,7 +7,8 @@ source: a range holds about 1/4096 of it.
 
 Defined cases: a null text has size 0; a null source is a source of its own and
 comes last; sources without words get target 0; a null ``doc_id`` sorts by an
-empty key; rows that repeat a ``doc_id`` are counted one by one; an empty table
+empty key; rows that repeat a ``doc_id`` are counted one by one; equal keys go by
+``doc_id`` and size; a very long text is one row, counted as a whole; an empty table
 gives an empty result.  Columns besides those named are ignored by ``mix_plan``
 and carried by ``mix_documents``.
 """

@@ -14,7 +14,8 @@ Components are then found over all forests.
 Defined cases: a null or empty text, and one without words, has fingerprint zero
 and links like any other; fewer words than a shingle make one shingle; a null
 ``doc_id`` gets a fingerprint and takes part, but names no component; rows that
-repeat a ``doc_id`` each get a row; an empty table gives an empty result.
+repeat a ``doc_id`` each get a row; a very long text is hashed in blocks; other columns
+are ignored, and carried by ``dedup_documents``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import cover_tree, learned_partitions, mixing, queries, simhash
+from tessera.llm import cover_tree, learned_partitions, line_dedup, mixing, queries, simhash
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -348,6 +350,109 @@ def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "mixing", "sentencepiece"]
 
 
+def plain_pipeline(rows, score):
+    """What the stages keep, by plain loops: ``doc_id`` and text of each row, before the tokens."""
+    rows = [r for r in rows if score(r[1]) < 0.5]
+    at, first, sites = {}, {}, {}
+    for i, text, _, source, _ in rows:
+        for p, line in enumerate((text or "").split("\n") if text is not None else []):
+            if body := line.strip(" \t\r"):
+                sites.setdefault(body, set()).add(source)
+                at.setdefault(body, []).append((2**62 + (signed_hash(text) % 2**64 >> 2) if i is None else i, signed_hash(text), p))
+    spread = {b for b, s in sites.items() if len(s) >= 10}
+    first = {b: min(at[b]) for b in spread}
+    lined = []
+    for i, text, lang, source, n in rows:
+        if text is not None:
+            d = 2**62 + (signed_hash(text) % 2**64 >> 2) if i is None else i
+            kept = [x for p, x in enumerate(text.split("\n")) if (b := x.strip(" \t\r")) not in spread or first[b] == (d, signed_hash(text), p)]
+            text = "\n".join(kept)
+        lined.append((i, text, source))
+    sets = {}
+    for i, text, _ in lined:
+        w = (text or "").lower().split()
+        sets.setdefault(i, set()).add(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    near = lambda a, b: any(x == y or 5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b])
+    ids = sorted(i for i in sets if i is not None)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if root[a] != root[b] and near(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    one = [min((t or "", s or "", t, s) for j, t, s in lined if j == i) for i in ids if root[i] == i]
+    kept = [(i, t, s) for i, (_, _, t, s) in zip([i for i in ids if root[i] == i], one)] + [r for r in lined if r[0] is None]
+    size = lambda t: len((t or "").split())
+    totals = {}
+    for _, t, s in kept:
+        totals[s] = totals.get(s, 0) + size(t)
+    out = []
+    for s, target in brute_targets(totals).items():
+        left = round(target)
+        own = sorted((r for r in kept if r[2] == s), key=lambda r: (hashlib.md5(f"mix{'' if r[0] is None else r[0]}".encode()).hexdigest()[:16], size(r[1])))
+        while left > 0 and totals[s]:
+            for i, t, _ in own:
+                if n := min(size(t), left):
+                    out.append((i, t if n == size(t) else " ".join(t.split()[:n])))
+                    left -= n
+    return out
+
+
+def signed_hash(text):
+    """Spark's xxhash64 of a string."""
+    from xxhash import xxh64_intdigest
+
+    return (xxh64_intdigest(text.encode(), seed=42) + 2**63) % 2**64 - 2**63
+
+
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(20)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    rows = []
+    for i in range(70):
+        text = f"{prose(rng.choice([3, 20, 60]))}\nshared by every site"
+        rows.append((i, text + (" scumbag" if i % 7 == 0 else ""), "en", f"s{i % 13}", 0))
+    rows += [(100 + k, rows[1][1].replace(" ", "  ", k), "en", "s1", 0) for k in range(3)]
+    long = prose(200).split()
+    rows += [(200 + k, " ".join([*long[:k], f"edit{k}", *long[k + 1 :]]), "en", "s2", 0) for k in range(6)]
+    rows += [(300, None, None, None, None), (301, "", "en", None, 0), (None, "no id here", "en", "s3", 0), (None, None, None, "s3", None), (302, "only source", "en", None, 0), (5, rows[5][1], "en", "s5", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(r[0], 1, int("scumbag" in r[1])) for r in rows[:70]], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    from tessera.llm import toxicity
+
+    model = toxicity.fit_toxicity(docs, labels)
+    word = re.compile(r"[^\W\d_]+")
+    want = plain_pipeline(rows, lambda t: model.score(set(word.findall((t or "").lower()))))
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model_path())
+    digest = lambda t: hashlib.sha256(",".join(map(str, library.encode(t or ""))).encode()).hexdigest()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.ids_sha256) for r in out) == sorted((str(i), digest(t)) for i, t in want)
+    assert 50 < len({i for i, _ in want}) < len(rows)
+    # columns of any name are carried through all stages but the last
+    odd = docs.selectExpr("*", "1 AS node", "2 AS component", "3 AS _size", "4 AS _h1", "5 AS fp", "6 AS bucket", "7 AS _toxicity")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, str(tmp_path))
+        assert odd.columns == [*docs.columns, "node", "component", "_size", "_h1", "fp", "bucket", "_toxicity"], name
+    assert {(r.node, r.component, r._size, r._h1, r.fp, r.bucket, r._toxicity) for r in odd.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 5003}" for i in range(300_000)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:-1] + ["end"]), "a"), (3, "few words", "b")]
+    rows += [(10 + i, "\n".join(["everywhere", *words[:2000]]) if i == 3 else "everywhere", f"s{i}") for i in range(12)]
+    docs = docs_of(spark, rows)
+    plan = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
+    assert plan[1].size == 300_000 and sum(r.taken for r in plan.values()) > 0
+    found = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert found[2] == 1 and found[3] == 3
+    lines = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert lines[13].text == "\n".join(words[:2000]) and lines[1].text == rows[0][1] and lines[10].text == "everywhere"
+
+
 def test_pipeline_on_nothing(spark, tmp_path, sf_dir):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
