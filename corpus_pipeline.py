@@ -4,6 +4,13 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 return the columns of ``documents``, with ``n_chars`` brought up to date where a text
 changed.  ``run`` applies them to the documents of a data folder, each stage on a
 checkpoint of what the stage before it kept.
+
+Defined cases: a null text counts as the empty text for scores, copies and tokens, and
+is kept as null by the line stage; texts without words are copies of each other and
+leave the mix; rows without a ``doc_id`` are copies of nothing; rows that repeat one are
+one document from the simhash stage on; ties go to the smaller id; texts of any length
+are taken whole; other columns are carried up to the last stage, whatever their names;
+empty tables, labels included, give an empty result.
 """
 
 from __future__ import annotations
