@@ -47,6 +47,12 @@ def compact(values: Column, limit: int = 10) -> Column:
     return F.when(F.size(values) > limit, F.array_append(F.slice(values, 1, limit), more)).otherwise(values)
 
 
+def compact_first(first: Column, n: Column, limit: int = 10) -> Column:
+    """As ``compact``, of ``n`` elements of which only the first ``limit`` are at hand."""
+    more = F.concat(F.lit("... "), (n - limit).cast("string"), F.lit(" more"))
+    return F.when(n > limit, F.array_append(F.slice(first, 1, limit), more)).otherwise(first)
+
+
 def token_estimate(value: Column) -> Column:
     """About how many tokens a struct takes as JSON: a fourth of its bytes."""
     return F.floor(F.octet_length(F.to_json(value)) / 4)

@@ -48,9 +48,11 @@ def recent_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two callers of each called function, and how many more there are."""
-    by = a.calls(spark, sf_dir).groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
-    names = F.transform("callers", lambda c: c.cast("string"))
-    return by.select("node", F.array_join(x.compact(names, 2), ", ").alias("callers"))
+    edges = a.calls(spark, sf_dir).select("src", F.col("dst").alias("node"))
+    two = a.top_per(edges, "node", 2, F.asc("src")).groupBy("node").agg(F.array_sort(F.collect_list("src")).alias("first"))
+    by = edges.groupBy("node").agg(F.count("*").alias("n")).join(two, "node")
+    names = F.transform("first", lambda c: c.cast("string"))
+    return by.select("node", F.array_join(x.compact_first(names, F.col("n"), 2), ", ").alias("callers"))
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
