@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segments in a worker's table before it begins a new one; the one before is kept too.
-KEPT = 300_000
+KEPT = 180_000
 #: Score of a pair that is no piece.
 _NONE = float("-inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -418,6 +418,7 @@ def token_digests(
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
+        model.segments.old = {}  # an idle worker holds no more than one table
 
     kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)])

@@ -39,7 +39,7 @@ PREFIXES = (4, 5, 6, 7)
 #: Words longer than this are known by their beginnings alone.
 LONGEST = 40
 #: Words in a worker's table before it is begun anew.
-KEPT = 200_000
+KEPT = 100_000
 
 #: Terms that stand in for each other within a group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
