@@ -141,3 +141,9 @@ def meta_boost(level: Column, pure: Column, complexity: Column, settings: tuple[
     by_size = 1.0 - F.least(F.coalesce(complexity, F.lit(0)) * penalty, F.lit(0.5))
     missing = level.isNull() & pure.isNull() & complexity.isNull()
     return F.when(missing, F.lit(1.0)).otherwise(by_level * by_purity * by_size)
+
+
+def enrich_query(query: Column, features: Column, most: int = 5) -> Column:
+    """The query with the first ``most`` of the features that do not stand in it yet, in any case."""
+    new = F.filter(F.coalesce(features, F.array().cast("array<string>")), lambda f: ~F.contains(F.lower(query), F.lower(f)))
+    return F.trim(F.concat_ws(" ", query, F.slice(new, 1, most)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import strings
+
 
 def tag(tree: Column) -> Column:
     """The node kind at the root of a tree ``[tag, meta, children...]``; null for a leaf or no JSON array."""
@@ -44,3 +46,50 @@ def matches(tree: Column, pattern: list[str | None]) -> Column:
     tests = [F.get_json_object(tree, f"$[{i}]") == F.lit(p) for i, p in enumerate(pattern) if p is not None]
     same_size = F.json_array_length(tree) == len(pattern)
     return F.coalesce(reduce(Column.__and__, tests, same_size), F.lit(False))
+
+
+# Features of a tree's root by its kind, and by an attribute of it.
+FEATURES = {
+    "collection_op": ("collection", "iteration", "transform"),
+    "loop": ("loop", "iteration", "repeat"),
+    "lambda": ("lambda", "function", "closure", "anonymous"),
+    "pattern_match": ("pattern", "match", "destructure", "case"),
+    "binary_op": (),
+    "function_call": ("call", "invoke", "function"),
+    "conditional": ("conditional", "branch", "if", "choice"),
+    "function_def": ("function", "definition", "def"),
+    "container": ("container",),
+    "child_spec": ("child_spec", "supervision", "otp"),
+}
+# The attribute that a kind is told apart by, and what its values add.
+ATTRIBUTES = {
+    "collection_op": ("op_type", {
+        "map": ("map", "transform", "apply"), "filter": ("filter", "select", "predicate"),
+        "reduce": ("reduce", "fold", "accumulate", "aggregate"), "find": ("find", "search", "locate"),
+    }),
+    "loop": ("loop_type", {"while": ("while", "conditional"), "for": ("for", "iterate"), "for_each": ("foreach", "each", "iterate")}),
+    "binary_op": ("category", {"arithmetic": ("arithmetic", "calculation", "math"), "comparison": ("comparison", "predicate", "test"), "boolean": ("boolean", "logic")}),
+    "container": ("container_type", {
+        "module": ("module",), "class": ("class", "oop"), "namespace": ("namespace",), "actor": ("actor", "genserver", "process"),
+        "supervisor": ("supervisor", "otp", "fault_tolerance"), "app": ("application", "otp", "lifecycle"), "fsm": ("state_machine", "fsm", "transitions"),
+        "struct": ("struct", "data"), "enum": ("enum", "enumeration"), "proof": ("proof", "formal_verification"),
+    }),
+}
+#: Attributes whose value is a feature itself, with what stands for a missing one.
+NAMED = {"binary_op": (("operator", None),), "function_call": (("name", "unknown"),), "function_def": (("name", "unknown"),), "container": (("name", "unknown"),), "child_spec": (("kind", "worker"), ("module", "unknown"))}
+
+
+def features(tree: Column) -> Column:
+    """Tags of a tree ``[kind, attributes, children...]``: those of its kind, of its attributes, and its names; two for any other."""
+    out = strings(("code", "construct"))
+    for kind, base in FEATURES.items():
+        attribute, values = ATTRIBUTES.get(kind, ("", {}))
+        found = F.get_json_object(tree, f"$[1].{attribute}") if attribute else F.lit(None).cast("string")
+        more = strings(("operation",) if kind == "binary_op" else ())
+        for value, tags in values.items():
+            more = F.when(found == value, strings(tags)).otherwise(more)
+        names = [F.coalesce(F.get_json_object(tree, f"$[1].{n}"), F.lit(missing)) for n, missing in NAMED.get(kind, ())]
+        named = F.array_compact(F.array(*names).cast("array<string>")) if names else strings(())
+        parts = (strings(base), named, more) if kind == "container" else (strings(base), more, named)
+        out = F.when(tag(tree) == kind, F.concat(*parts)).otherwise(out)
+    return out

@@ -6,7 +6,9 @@ short and a lost executor costs one step.  Edges are taken distinct; self-loops
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,32 +159,53 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def label_propagation(edges: DataFrame, iterations: int = 5) -> DataFrame:
-    """``node, label`` after synchronous rounds; most frequent label among in- and out-neighbours, ties to the least."""
+def _rounds(rounds: int | None, limit: int, what: str) -> Iterator[None]:
+    """So many rounds; without a number, up to ``limit``, which is an error to reach, as nothing has settled then."""
+    yield from (None for _ in range(limit if rounds is None else rounds))
+    if rounds is None:
+        raise RuntimeError(f"{what} did not settle in {limit} rounds")
+
+
+def _same(a: DataFrame, b: DataFrame, value: str) -> bool:
+    """Whether two tables of ``node`` and a value agree."""
+    other = b.select("node", F.col(value).alias("_other"))
+    return not a.join(other, "node").where(F.col(value) != F.col("_other")).limit(1).count()
+
+
+def label_propagation(edges: DataFrame, iterations: int | None = 5, limit: int = 100) -> DataFrame:
+    """``node, label`` after synchronous rounds; most frequent label among in- and out-neighbours, ties to the least.
+
+    A fixed number of rounds need not settle; None runs until no label changes, with an error
+    after ``limit`` rounds, as labels of a bipartite part may change places for ever.
+    """
     e = distinct_edges(edges)
     near = cut(e.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(e.select("dst", "src")))
     labels = endpoints(e).select("node", F.col("node").alias("label"))
-    for _ in range(iterations):
+    for _ in _rounds(iterations, limit, "labels"):
         votes = (
             near.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node", "label").agg(F.count("*").alias("n"))
         )
-        labels = cut(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")))
+        before, labels = labels, cut(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")))
+        if iterations is None and _same(labels, before, "label"):
+            break
     return labels
 
 
-def local_moves(edges: DataFrame, rounds: int = 4) -> DataFrame:
+def local_moves(edges: DataFrame, rounds: int | None = 4, limit: int = 200) -> DataFrame:
     """``node, community``: local moving by weight gain, all nodes of a round at once.
 
     A node's best community is the neighbouring one with the most weight to it, ties to
     the smaller name, if that is more than it has to its own.  It moves there if that has
-    the smaller name; else it waits for the others to come, so that rounds settle.
+    the smaller name; else it waits for the others to come, so that rounds settle: names only
+    become smaller.  A fixed number of rounds may end before that; None runs until no node
+    moves, with an error after ``limit`` rounds.
     """
     e = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     near = cut(
         e.select(F.col("src").alias("node"), F.col("dst").alias("near"), "weight").union(e.where("src <> dst").select("dst", "src", "weight"))
     )
     where = endpoints(e).select("node", F.col("node").alias("community"))
-    for _ in range(rounds):
+    for _ in _rounds(rounds, limit, "communities"):
         pull = (
             near.join(where.select(F.col("node").alias("near"), F.col("community").alias("to")), "near")
             .groupBy("node", "to")
@@ -198,10 +221,24 @@ def local_moves(edges: DataFrame, rounds: int = 4) -> DataFrame:
             .agg(F.min(F.struct((-F.col("w")).alias("w"), "to"))["to"].alias("to"))
         )
         moved = F.when(F.col("to") < F.col("community"), F.col("to")).otherwise(F.col("community"))
-        where = cut(own.join(best, "node", "left").select("node", moved.alias("community")))
+        before, where = where, cut(own.join(best, "node", "left").select("node", moved.alias("community")))
+        if rounds is None and _same(where, before, "community"):
+            break
     return where
 
 
+def move_gain(edges: DataFrame, assignment: DataFrame, moves: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``node, to, gain`` of moves ``node, to``: weight to the new community less that to its own, over the total weight."""
+    e = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    near = e.select(F.col("src").alias("node"), F.col("dst").alias("near"), "weight").union(e.where("src <> dst").select("dst", "src", "weight"))
+    pull = near.where("node <> near").join(assignment.select(F.col("node").alias("near"), F.col("community").alias("of")), "near")
+    pull = pull.groupBy("node", "of").agg(F.sum("weight").alias("w"))
+    own = assignment.select("node", F.col("community").alias("of")).join(pull, ["node", "of"], "left").select("node", F.coalesce("w", F.lit(0.0)).alias("_own"))
+    to = moves.select("node", F.col("to").alias("of")).join(pull, ["node", "of"], "left").select("node", F.col("of").alias("to"), F.coalesce("w", F.lit(0.0)).alias("_to"))
+    total = e.agg(F.sum("weight").alias("_m"))
+    return to.join(own, "node").join(total).select("node", "to", (resolution * (F.col("_to") - F.col("_own")) / F.col("_m")).alias("gain"))
+
+
 def modularity(edges: DataFrame, assignment: DataFrame, resolution: float = 1.0) -> DataFrame:
     """``modularity`` of ``node, community``: inner weight less expected weight, both over the total.
 
@@ -245,13 +282,16 @@ def simple_paths(edges: DataFrame, max_depth: int = 10, start: DataFrame | None
     return paths if end is None else paths.join(end.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 5, min_length: int = 2) -> DataFrame:
-    """``cycle`` (an array from its least node on) of every simple cycle, each once; self-loops are none."""
+def simple_cycles(edges: DataFrame, max_length: int | None = 5, min_length: int = 2) -> DataFrame:
+    """``cycle`` (an array from its least node on) of every simple cycle, each once; self-loops are none.
+
+    Cycles of more than ``max_length`` nodes are left out; None goes on until no path does.
+    """
     e = cut(distinct_edges(edges).where("src <> dst"))
     step = cut(e.where("dst > src").select("src", "dst", F.array("src", "dst").alias("path")))
     on = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     found = []
-    for length in range(2, max_length + 1):
+    for length in count(2):
         if length >= min_length:
             found.append(step.join(on, "dst").where(F.col("next") == F.col("src")).select(F.col("path").alias("cycle")))
         if length == max_length:
@@ -261,7 +301,9 @@ def simple_cycles(edges: DataFrame, max_length: int = 5, min_length: int = 2) ->
             .where((F.col("next") > F.col("src")) & ~F.array_contains("path", F.col("next")))
             .select("src", F.col("next").alias("dst"), F.array_append("path", F.col("next")).alias("path"))
         )
-    return reduce(DataFrame.unionByName, found)
+        if not step.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, found) if found else e.select(F.array("src").alias("cycle")).where("false")
 
 
 def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..functions.vectors import cosine
 from ..operators import analysis as n
+from ..operators import equivalence
 from ..operators import graph as g
 from ..operators import retrieval as r
 from ..operators import similarity as s
@@ -134,11 +136,39 @@ def comment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "line", F.md5("content").alias("digest"))
 
 
+def _event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"view": '["loop",{"loop_type":"for"}]', "signup": '["function_def",{"name":"signup"}]', "click": '["collection_op",{"op_type":"map"}]', "purchase": '["container",{"container_type":"actor"}]'}
+    tree = F.lit('["other",{}]')
+    for name, text in kinds.items():
+        tree = F.when(F.col("event_type") == name, F.lit(text)).otherwise(tree)
+    return table(spark, sf_dir, "events").select("event_type", tree.alias("tree"))
+
+
+def tree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of events as syntax trees, and how many events have each."""
+    return _event_trees(spark, sf_dir).select(F.explode(equivalence.features(F.col("tree"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+def enriched_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types as queries, with the brands of their parts as features."""
+    by = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(F.array_sort(F.collect_set("p_brand")).alias("features"))
+    return by.select("query", lx.enrich_query(F.col("query"), F.col("features"), 3).alias("enriched"))
+
+
+def move_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moving each module to the area of the one it imports most would gain."""
+    edges = a.imports(spark, sf_dir)
+    areas = a.modules(spark, sf_dir).select(F.col("module").alias("node"), F.col("area").alias("community"))
+    first = edges.groupBy("src").agg(F.min_by("dst", F.struct((-F.col("weight")).alias("w"), "dst")).alias("dst"))
+    moves = first.join(areas.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.col("community").alias("to"))
+    return g.move_gain(edges, areas, moves).select("node", "to", F.round("gain", 6).alias("gain"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         affected_tests, chunk_search, four_list_fusion, scoped_search, smells, smell_summary, tracker_stats, functions_by_name, coupling_order,
-        operation_counts, line_requests, string_literals, comment_blocks,
+        operation_counts, line_requests, string_literals, comment_blocks, tree_features, enriched_queries, move_gains,
     )
 }
 
@@ -183,6 +213,16 @@ ORACLE = {
           SELECT module, CAST(afferent AS BIGINT) AS afferent, CAST(efferent AS BIGINT) AS efferent, CASE WHEN afferent + efferent > 0 THEN round(efferent / (afferent + efferent)::DOUBLE, 4) ELSE 0.0::DOUBLE END AS instability
           FROM c ORDER BY efferent DESC, module DESC LIMIT 10""",
     "operation_counts": """SELECT event_type AS operation, CAST(hour(ts) AS INTEGER) AS target, CAST(count(DISTINCT dayofweek(ts)) AS INTEGER) AS frameworks, count(*) AS n FROM events GROUP BY 1, 2""",
+    "tree_features": """SELECT feature, count(*) AS n FROM (SELECT unnest(CASE event_type WHEN 'view' THEN ['loop', 'iteration', 'repeat', 'for', 'iterate'] WHEN 'signup' THEN ['function', 'definition', 'def', 'signup']
+        WHEN 'click' THEN ['collection', 'iteration', 'transform', 'map', 'transform', 'apply'] WHEN 'purchase' THEN ['container', 'unknown', 'actor', 'genserver', 'process'] ELSE ['code', 'construct'] END) AS feature FROM events) GROUP BY feature""",
+    "enriched_queries": """WITH f AS (SELECT p_type AS query, list_sort(list(DISTINCT p_brand)) AS b FROM part GROUP BY 1)
+        SELECT query, query || ' ' || array_to_string(list_filter(b, lambda x: NOT contains(lower(query), lower(x)))[1:3], ' ') AS enriched FROM f""",
+    "move_gains": sql_with("imports")
+    + """, near AS (SELECT src AS node, dst AS near, weight FROM imports WHERE src <> dst UNION ALL SELECT dst, src, weight FROM imports WHERE src <> dst),
+          pull AS (SELECT node, area, sum(weight) AS w FROM near JOIN modules ON near = module GROUP BY 1, 2),
+          f AS (SELECT src AS node, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM imports) WHERE k = 1)
+          SELECT f.node, t.area AS to, round((coalesce(p.w, 0) - coalesce(o.w, 0)) / (SELECT sum(weight) FROM imports), 6) AS gain
+          FROM f JOIN modules t ON f.dst = t.module JOIN modules m ON f.node = m.module LEFT JOIN pull p ON p.node = f.node AND p.area = t.area LEFT JOIN pull o ON o.node = f.node AND o.area = m.area""",
     "string_literals": "WITH l AS (SELECT doc_id AS path, lang, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), "
     + "s AS (SELECT path, line, unnest(CASE lang "
     + " ".join(f"WHEN '{k}' THEN regexp_extract_all(text, '{code.STRINGS[v].replace(chr(39), chr(39) * 2)}')" for k, v in (("en", "python"), ("de", "javascript"), ("fr", "elixir")))

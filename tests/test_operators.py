@@ -425,3 +425,20 @@ def test_search_leaves_chunks_out_unless_asked_for(spark):
     assert [r.id for r in similarity.search(df, probe, 3).collect()] == [2, 4, 6]
     assert [(r.id, r.chunk_parent) for r in similarity.search(df, probe, 3, include_chunks=True).collect()] == [(1, 0), (2, None), (3, 2)]
     assert [r.id for r in similarity.search(df, probe, 2, node_type="chunk").collect()] == [1, 3]
+
+
+def test_rounds_until_nothing_moves(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (4, 5, 1.0), (5, 6, 1.0), (6, 4, 1.0), (3, 4, 0.1)], "src int, dst int, weight double")
+    settled = {r.node: r.community for r in graph.local_moves(edges, rounds=None).collect()}
+    assert settled[1] == settled[2] == settled[3] != settled[4] == settled[5] == settled[6]
+    with pytest.raises(RuntimeError):
+        graph.label_propagation(spark.createDataFrame([(1, 2)], "src int, dst int"), iterations=None, limit=3)  # the two change places
+    ring = spark.createDataFrame([(i, i % 4 + 1) for i in range(1, 5)], "src int, dst int")
+    assert [r.cycle for r in graph.simple_cycles(ring, max_length=None).collect()] == [[1, 2, 3, 4]]
+    assert graph.simple_cycles(ring, max_length=3).count() == 0
+
+
+def test_features_of_trees(spark):
+    rows = [('["binary_op",{"category":"boolean","operator":"and"}]',), ('["binary_op",{"operator":"<<"}]',), ('["child_spec",{"module":"M"}]',), ('["container",{"container_type":"fsm","name":"N"}]',), ('["lambda",{}]',), ("text",)]
+    got = [r.f for r in spark.createDataFrame(rows, "t string").select(equivalence.features(F.col("t")).alias("f")).collect()]
+    assert got == [["boolean", "logic", "and"], ["operation", "<<"], ["child_spec", "supervision", "otp", "worker", "M"], ["container", "N", "state_machine", "fsm", "transitions"], ["lambda", "function", "closure", "anonymous"], ["code", "construct"]]
