@@ -114,12 +114,13 @@ def _sets(docs: DataFrame, shingle: int, with_set: bool) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets are near."""
+    """Those of the pairs ``a, b`` whose sets are near; only pairs of like sizes fetch their sets."""
+    size = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    alike = pairs.join(size("a"), "a").join(size("b"), "b").where("5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)")
     of_a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
     of_b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
-    n_a, n_b = F.size("_a"), F.size("_b")
-    both = pairs.join(of_a, "a").join(of_b, "b").where((5 * F.least(n_a, n_b)) >= 4 * F.greatest(n_a, n_b))
-    shared = both.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), F.size(F.array_intersect("_a", "_b")).alias("shared"))
+    both = alike.join(of_a, "a").join(of_b, "b")
+    shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_a", "_b")).alias("shared"))
     return shared.where(_NEAR).select("a", "b")
 
 
@@ -164,19 +165,22 @@ def _prefix_pairs(rare: DataFrame, groups: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for every row with an id: components of the links of a Jaccard of 0.8 or more."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(_sets(texts, shingle, False))
-    nodes = cut(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.first("hashes").alias("buckets")))
+    rows = cut(_sets(texts, shingle, False)).withColumn("_row", F.monotonically_increasing_id())  # of a checkpoint, so always the same
+    # one row stands for a node, so that no array is ever a state of an aggregation
+    nodes = cut(rows.groupBy("node", "fp").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("node", "fp", F.col("_first.doc_id").alias("least"), F.col("_first._row").alias("_row")))
     trees = cut(_tree_pairs(nodes.select("node", "fp")))
-    members = nodes.select("node", F.explode("buckets").alias("bucket"))
+    members = rows.join(nodes.select("_row"), "_row", "left_semi").select("node", F.explode("hashes").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high")
     # counts and pivots are tables of their own, so that joins with them are plain ones whose hot keys the adaptive skew join can split
     met = cut(members.join(cut(several.select("bucket")), "bucket"))
     wanted = met.select("node").unionByName(trees.select(F.col("a").alias("node"))).unionByName(trees.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    sets = cut(_sets(texts.join(asked, "doc_id", "left_semi"), shingle, True).groupBy("node").agg(F.first("hashes").alias("hashes")))
+    asked = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"), "node")
+    found = _sets(texts.join(asked.select("doc_id"), "doc_id", "left_semi"), shingle, True).join(asked, ["doc_id", "node"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("node").orderBy("doc_id"))  # rows that repeat an id and a text
+    sets = cut(found.withColumn("_once", once).where("_once = 1").select("node", F.size("hashes").alias("n"), "hashes"))
 
     # places of the shingles that stand in several sets, behind those that stand in no other
-    tokens = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    tokens = sets.select("node", "n", F.explode("hashes").alias("token"))
     counts = cut(tokens.groupBy("token").count().where("count > 1"))
     shared = cut(tokens.join(counts, "token"))
     by_rarity = Window.partitionBy("node").orderBy("count", "token")
