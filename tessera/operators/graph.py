@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 from .components import connected_components
 
 
@@ -201,7 +201,7 @@ def local_moves(edges: DataFrame, rounds: int | None = 4, limit: int = 200) -> D
     moves, with an error after ``limit`` rounds.
     """
     e = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    near = cut(
+    near = stored(
         e.select(F.col("src").alias("node"), F.col("dst").alias("near"), "weight").union(e.where("src <> dst").select("dst", "src", "weight"))
     )
     where = endpoints(e).select("node", F.col("node").alias("community"))
@@ -221,7 +221,7 @@ def local_moves(edges: DataFrame, rounds: int | None = 4, limit: int = 200) -> D
             .agg(F.min(F.struct((-F.col("w")).alias("w"), "to"))["to"].alias("to"))
         )
         moved = F.when(F.col("to") < F.col("community"), F.col("to")).otherwise(F.col("community"))
-        before, where = where, cut(own.join(best, "node", "left").select("node", moved.alias("community")))
+        before, where = where, stored(own.join(best, "node", "left").select("node", moved.alias("community")))
         if rounds is None and _same(where, before, "community"):
             break
     return where

@@ -22,31 +22,34 @@ def terms(text: Column) -> Column:
 
 
 def bm25(
-    docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", query_id: str = "item_id", k1: float = 1.2, b: float = 0.75
-) -> DataFrame:
+    docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", query_id: str = "item_id", k1: float = 1.2, b: float = 0.75,
+    scope: Column | None = None,
+) -> DataFrame:
     """``query_id, id, score, shared`` of every document that shares terms with a query: six digits, and how many terms.
 
     Only the queries' terms leave the documents' tasks: their number is counted first, and
     up to ``BROADCAST_TERMS`` they are broadcast.  The counts are written once, for the
-    document frequencies and for the scores.
+    document frequencies and for the scores.  With a ``scope``, a condition on the documents, only
+    those inside are scored, by the frequencies and the mean size of the whole corpus.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = cut(asked.select("term").distinct())
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    lengths = docs.select(F.col(doc_id).alias("id"), "text", F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).alias("size"))
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    lengths = docs.select(F.col(doc_id).alias("id"), "text", inside.alias("inside"), F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).alias("size"))
     sizes = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     counts = cut(
-        lengths.select("id", "size", F.explode(terms(F.col("text"))).alias("term"))
+        lengths.select("id", "size", "inside", F.explode(terms(F.col("text"))).alias("term"))
         .join(wanted, "term", "left_semi")
-        .groupBy("id", "term", "size")
+        .groupBy("id", "term", "size", "inside")
         .agg(F.count("*").alias("tf"))
     )
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     rare = spread.join(F.broadcast(sizes)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     # of a term: a row for each query that asks it, so that a document's row meets no more rows than there are queries
-    parts = counts.join(asked.join(rare, "term"), "term").select("query_id", "id", weight.alias("weight"))
+    parts = counts.where("inside").join(asked.join(rare, "term"), "term").select("query_id", "id", weight.alias("weight"))
     return parts.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").cast("double").alias("shared"))
 
 
@@ -101,10 +104,14 @@ def packed_ranges(hits: DataFrame, budget: int = 8000, overlap: float = 0.6) ->
     return items.select("query_id", F.inline(F.aggregate("items", none, take)["kept"]))
 
 
+def in_scope(scope: dict[str, object]) -> Column:
+    """Whether a row has all the values of ``scope``."""
+    return reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in scope.items()], F.lit(True))
+
+
 def scoped(hits: DataFrame, items: DataFrame, scope: dict[str, object]) -> DataFrame:
     """Hits whose item has all the values of ``scope``; items are ``id`` and any columns."""
-    condition = reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in scope.items()], F.lit(True))
-    return hits.join(items.where(condition).select("id"), "id", "left_semi")
+    return hits.join(items.where(in_scope(scope)).select("id"), "id", "left_semi")
 
 
 def packed(hits: DataFrame, budget: int = 8000) -> DataFrame:

@@ -138,9 +138,9 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
         F.col("lang").alias("language"),
-        (F.regexp_count("text", F.lit(r"[.]")) % 40 + 1).alias("cyclomatic"),
-        (F.regexp_count("text", F.lit(",")) % 60).alias("cognitive"),
-        (F.regexp_count("text", F.lit("\n")) % 8).alias("max_nesting"),
+        (F.regexp_count("text", F.lit(r"[.]")) + 1).alias("cyclomatic"),
+        F.regexp_count("text", F.lit(",")).alias("cognitive"),
+        F.regexp_count("text", F.lit("\n")).alias("max_nesting"),
         words.cast("long").alias("loc"),
         warnings.alias("warnings"),
         (~F.col("text").rlike("[0-9]")).alias("pure"),
@@ -220,10 +220,10 @@ def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         F.explode(rules).alias("pattern"),
         F.least(F.col("cyclomatic") / 40.0, F.lit(1.0)).alias("benefit"),
-        (F.col("cognitive") / 60.0).alias("confidence"),
+        F.least(F.col("cognitive") / 60.0, F.lit(1.0)).alias("confidence"),
         F.least(F.col("loc") / 2000.0, F.lit(1.0)).alias("effort"),
         (F.col("max_nesting") + 1).alias("affected_files"),
-        F.element_at(risks, F.col("max_nesting") % 4 + 1).alias("risk"),
+        F.element_at(risks, F.least(F.floor(F.col("max_nesting") / 10), F.lit(3)).cast("int") + 1).alias("risk"),
     )
 
 
@@ -300,8 +300,8 @@ _DEAD = f"""scored AS (SELECT *, round(greatest(0, least(1, 1.0::DOUBLE - CASE W
       dead AS (SELECT fn, module, name, arity, visibility, confidence, CASE WHEN confidence > 0.8 THEN 'never_called'
           WHEN confidence > 0.5 THEN 'never_called_may_start_outside' ELSE 'likely_called_from_outside' END AS reason FROM scored)"""
 _DEGREES = """(SELECT dst, count(*) AS n FROM calls GROUP BY dst) i ON i.dst = fn"""
-_QUALITY = r"""q AS (SELECT source || '/' || doc_id AS path, lang AS language, CAST(len(regexp_extract_all(text, '[.]')) % 40 + 1 AS INTEGER) AS cyclomatic,
-        CAST(len(regexp_extract_all(text, ',')) % 60 AS INTEGER) AS cognitive, CAST(len(regexp_extract_all(text, chr(10))) % 8 AS INTEGER) AS max_nesting,
+_QUALITY = r"""q AS (SELECT source || '/' || doc_id AS path, lang AS language, CAST(len(regexp_extract_all(text, '[.]')) + 1 AS INTEGER) AS cyclomatic,
+        CAST(len(regexp_extract_all(text, ',')) AS INTEGER) AS cognitive, CAST(len(regexp_extract_all(text, chr(10))) AS INTEGER) AS max_nesting,
         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS loc,
         list_filter([CASE WHEN n_chars > 10000 THEN 'long' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda w: w IS NOT NULL) AS warnings,
         NOT regexp_matches(text, '[0-9]') AS pure FROM documents)"""
@@ -315,8 +315,8 @@ _FINDINGS = """f AS (SELECT CASE event_type WHEN 'error' THEN 'critical' WHEN 'p
 _UNIT = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
 _SUGGEST = f"""WITH {_QUALITY}, s AS (SELECT path, cyclomatic, cognitive, loc, max_nesting, unnest(list_filter([CASE WHEN cyclomatic > 15 THEN 'simplify_complexity' END,
           CASE WHEN loc > 500 THEN 'split_module' END, CASE WHEN max_nesting > 5 THEN 'reduce_nesting' END, CASE WHEN cognitive = 0 THEN 'remove_dead_code' END], lambda r: r IS NOT NULL)) AS pattern FROM q),
-      v AS (SELECT path, pattern, least(cyclomatic / 40.0::DOUBLE, 1) AS benefit, cognitive / 60.0::DOUBLE AS confidence, least(loc / 2000.0::DOUBLE, 1) AS effort,
-          round(least(ln(max_nesting + 2.0::DOUBLE) / ln(11.0::DOUBLE), 1), 2) AS impact, CASE max_nesting % 4 WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE 1 END AS risk FROM s),
+      v AS (SELECT path, pattern, least(cyclomatic / 40.0::DOUBLE, 1) AS benefit, least(cognitive / 60.0::DOUBLE, 1) AS confidence, least(loc / 2000.0::DOUBLE, 1) AS effort,
+          round(least(ln(max_nesting + 2.0::DOUBLE) / ln(11.0::DOUBLE), 1), 2) AS impact, CASE least(max_nesting // 10, 3) WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE 1 END AS risk FROM s),
       b AS (SELECT *, round({_UNIT.format('benefit * 0.4::DOUBLE + impact * 0.2::DOUBLE - risk * 0.2::DOUBLE - effort * 0.1::DOUBLE + confidence * 0.1::DOUBLE')}, 2) AS base FROM v),
       c AS (SELECT *, round({_UNIT.format("base + CASE pattern WHEN 'remove_dead_code' THEN 0.1::DOUBLE WHEN 'simplify_complexity' THEN 0.05::DOUBLE WHEN 'split_module' THEN -0.05::DOUBLE ELSE 0 END")}, 2) AS priority_score FROM b),
       r AS (SELECT path, pattern, priority_score, CASE WHEN priority_score > 0.8 THEN 'critical' WHEN priority_score > 0.6 THEN 'high' WHEN priority_score > 0.4 THEN 'medium' WHEN priority_score > 0.2 THEN 'low' ELSE 'info' END AS priority,

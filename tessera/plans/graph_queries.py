@@ -214,7 +214,7 @@ ORACLE = {
               (SELECT count(*) FROM calls) + (SELECT count(*) FROM imports) AS m)
           SELECT CAST(n AS BIGINT) AS node_count, CAST(m AS BIGINT) AS edge_count, round(2.0::DOUBLE * m / n, 2) AS average_degree,
             round(m::DOUBLE / (n * (n - 1)), 4) AS density FROM c""",
-    "node_counts": "SELECT 'function' AS node_type, count(*) AS n FROM supplier UNION ALL SELECT 'module', count(*) FROM nation",
+    "node_counts": "SELECT 'function' AS node_type, count(*) AS n FROM part UNION ALL SELECT 'module', count(*) FROM nation",
     "pagerank_10it": sql_with("calls") + ", " + pagerank_sql("calls", 10) + " SELECT node, round(score, 8) AS score FROM p10",
     "pagerank_top10": sql_with("imports") + ", " + pagerank_sql("imports", 20)
     + " SELECT node, round(score, 8) AS score FROM p20 ORDER BY round(score, 8) DESC, node LIMIT 10",

@@ -17,7 +17,7 @@ from ..sources import adapters as a
 from ..sources import code, documents
 from ..sources.adapters import sql_with, table
 from .graph_queries import pagerank_sql
-from .retrieval_queries import _BM25, _COS, _bm25
+from .retrieval_queries import _BM25, _COS
 
 
 def affected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ def four_list_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that a vector, the public functions, the full text and the ranks of functions agree on, fused by reciprocal ranks."""
     near = _near_probe(spark, sf_dir)
     public = a.functions(spark, sf_dir).where("visibility = 'public'").select(F.col("fn").alias("id"))
-    first = table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("query_id"))
-    text = _bm25(spark, sf_dir).join(F.broadcast(first), "query_id").select("id", "score")
+    items = table(spark, sf_dir, "benchmark")
+    asked = items.join(F.broadcast(items.agg(F.min("item_id").alias("item_id"))), "item_id")  # one item, before anything is scored
+    text = r.bm25(table(spark, sf_dir, "documents"), asked).select("id", "score")
     pagerank = g.pagerank(a.calls(spark, sf_dir), max_iterations=10, tolerance=None).select(F.col("node").alias("id"), F.round("score", 8).alias("score"))
     lists = [near, near.join(public, "id", "left_semi"), text, pagerank]
     fused = r.reciprocal_rank_fusion([r.ranked(x.withColumn("query_id", F.lit(0)), 30) for x in lists], limit=20)
@@ -55,16 +56,16 @@ def four_list_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best English documents of each benchmark item."""
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    hits = r.scoped(_bm25(spark, sf_dir), items, {"language": "en"})
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "language")
+    hits = r.bm25(docs, table(spark, sf_dir, "benchmark"), scope=r.in_scope({"language": "en"}))
     return r.ranked(hits, 5).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
+    lines = F.split("text", "\n")  # statements; commas of the first one are parameters, the most of a sentence its nesting
     count = lambda x, p: F.regexp_count(x, F.lit(p))
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("path"), F.size(lines).alias("statements"), (count(F.col("text"), "[(]") % 8).alias("nesting"),
+        F.col("doc_id").alias("path"), F.size(lines).alias("statements"), F.array_max(F.transform(F.split("text", r"[.!?\n]"), lambda x: count(x, ","))).alias("nesting"),
         count(lines[0], ",").alias("parameters"), count(F.col("text"), "[;!?]").alias("cognitive"),
     )
 
@@ -172,7 +173,7 @@ QUERIES = {
     )
 }
 
-_SMELLS = r"""m AS (SELECT doc_id AS path, len(string_split(text, chr(10))) AS statements, len(regexp_extract_all(text, '[(]')) % 8 AS nesting,
+_SMELLS = r"""m AS (SELECT doc_id AS path, len(string_split(text, chr(10))) AS statements, list_max(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: len(regexp_extract_all(x, ',')))) AS nesting,
         len(regexp_extract_all(string_split(text, chr(10))[1], ',')) AS parameters, len(regexp_extract_all(text, '[;!?]')) AS cognitive FROM documents),
     smells AS (""" + " UNION ALL ".join(
     f"SELECT path, '{k}' AS smell, CAST({k} AS BIGINT) AS value, CAST({k} - {v} AS BIGINT) AS over FROM m WHERE {k} > {v}" for k, v in n.SMELL_LIMITS.items()

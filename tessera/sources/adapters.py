@@ -1,8 +1,10 @@
 """The graph and code model read out of the given tables, as DataFrames and as SQL.
 
-Nations stand for modules and suppliers for their functions; a module imports the
-three modules it trades with most; a function calls every function that follows it
-inside an order, with the number of times as weight.  ``SQL`` has the same tables as common table expressions.
+Nations stand for modules and parts for their functions; a module imports the
+three modules it trades with most; a function calls the function that follows it inside an
+order if that is shipped within ``CALL_DAYS`` after it, with the number of times as weight: a
+graph of a large component, small ones and functions that nothing calls.  ``_PARTS`` has the same
+tables as common table expressions.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from .tables import table
 
 FUNCTION_NAMES = ("init", "run", "handle_call", "render_page", "compute", "test_case", "start_worker", "load")
+#: A call is a follower shipped within so many days.
+CALL_DAYS = 90
 
 
 def top_per(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -35,17 +39,17 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fn, module, area, name, arity, visibility``: a row a supplier."""
+    """``fn, module, area, name, arity, visibility``: a row a part."""
     names = F.array(*[F.lit(n) for n in FUNCTION_NAMES])
     mods = modules(spark, sf_dir)
-    supplier = table(spark, sf_dir, "supplier")
-    return supplier.join(mods, supplier["s_nationkey"] == mods["nk"]).select(
-        F.col("s_suppkey").alias("fn"),
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return part.join(mods, (part["p_partkey"] % 25) == mods["nk"]).select(
+        F.col("p_partkey").alias("fn"),
         "module",
         "area",
-        F.get(names, (F.col("s_suppkey") % 8).cast("int")).alias("name"),
-        (F.col("s_suppkey") % 4).cast("int").alias("arity"),
-        F.when(F.col("s_acctbal") < 0, "private").otherwise("public").alias("visibility"),
+        F.get(names, (F.col("p_partkey") % 8).cast("int")).alias("name"),
+        (F.col("p_partkey") % 4).cast("int").alias("arity"),
+        F.when(F.col("p_size") <= 10, "private").otherwise("public").alias("visibility"),
     )
 
 
@@ -69,13 +73,15 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per(named.select("src", "dst", "weight"), "src", 3, F.desc("weight"), F.asc("dst"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, weight``: each function's followers within an order, and how often."""
+def calls(spark: SparkSession, sf_dir: str, days: int = CALL_DAYS) -> DataFrame:
+    """``src, dst, weight``: each function's followers within an order and so many days, and how often."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(line).alias("dst")
-    )
-    return steps.where(F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+        F.col("l_partkey").alias("src"), F.col("l_shipdate").alias("_at"),
+        F.lead("l_partkey").over(line).alias("dst"), F.lead("l_shipdate").over(line).alias("_then"),
+    )
+    soon = steps.where(F.col("dst").isNotNull() & F.col("_then").between(F.col("_at"), F.col("_at") + F.make_dt_interval(F.lit(days))))
+    return soon.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +110,10 @@ _PARTS = {
     ),
     "functions": (
         ("modules",),
-        """SELECT s_suppkey AS fn, module, area, ['init', 'run', 'handle_call', 'render_page', 'compute', 'test_case',
-           'start_worker', 'load'][1 + s_suppkey % 8] AS name, CAST(s_suppkey % 4 AS INTEGER) AS arity,
-           CASE WHEN s_acctbal < 0 THEN 'private' ELSE 'public' END AS visibility
-           FROM supplier JOIN modules ON s_nationkey = nk""",
+        """SELECT p_partkey AS fn, module, area, ['init', 'run', 'handle_call', 'render_page', 'compute', 'test_case',
+           'start_worker', 'load'][1 + p_partkey % 8] AS name, CAST(p_partkey % 4 AS INTEGER) AS arity,
+           CASE WHEN p_size <= 10 THEN 'private' ELSE 'public' END AS visibility
+           FROM part JOIN modules ON p_partkey % 25 = nk""",
     ),
     "imports": (
         ("modules",),
@@ -120,9 +126,10 @@ _PARTS = {
     ),
     "calls": (
         (),
-        """SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
-             SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-             FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2""",
+        f"""SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
+             SELECT l_partkey AS src, l_shipdate AS a, lead(l_partkey) OVER w AS dst, lead(l_shipdate) OVER w AS b
+             FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+           WHERE dst IS NOT NULL AND b BETWEEN a AND a + INTERVAL {CALL_DAYS} DAY GROUP BY 1, 2""",
     ),
     "module_calls": (
         ("functions", "calls"),
