@@ -78,26 +78,31 @@ def bucket_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, shingle: int, with_set: bool) -> DataFrame:
-    """``doc_id, node, fp`` and the node's shingles or buckets, for rows of ``doc_id, text``."""
+    """``doc_id, node, fp`` and the node's shingles or buckets, for rows of ``doc_id, text``; with shingles, of the rows that are the ``wanted`` node."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                nodes, prints, lists = [], [], []
-                for cell in part.column(1):
+                nodes, prints, lists, kept = [], [], [], []
+                wanted = part.column(2).to_numpy().view(np.uint64) if with_set else None
+                for i, cell in enumerate(part.column(1)):
                     found = shingle_set(cell.as_py(), shingle)
-                    nodes.append(xxh64_intdigest(found.tobytes()))
+                    node = xxh64_intdigest(found.tobytes())
+                    if with_set and node != wanted[i]:
+                        continue
+                    kept.append(i)
+                    nodes.append(node)
                     prints.append(0 if with_set else hashed_bits(found))
                     lists.append(found.view(np.int64) if with_set else bucket_hashes(found))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        part.column(0).take(pa.array(kept, pa.int64())),
                         pa.array(np.array(nodes, np.uint64).view(np.int64)),
                         pa.array(np.array(prints, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *lists]))),
                     ],
                     ["doc_id", "node", "fp", "hashes"],
                 )
@@ -174,10 +179,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # counts and pivots are tables of their own, so that joins with them are plain ones whose hot keys the adaptive skew join can split
     met = cut(members.join(cut(several.select("bucket")), "bucket"))
     wanted = met.select("node").unionByName(trees.select(F.col("a").alias("node"))).unionByName(trees.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"), "node")
-    found = _sets(texts.join(asked.select("doc_id"), "doc_id", "left_semi"), shingle, True).join(asked, ["doc_id", "node"], "left_semi")
-    once = F.row_number().over(Window.partitionBy("node").orderBy("doc_id"))  # rows that repeat an id and a text
-    sets = cut(found.withColumn("_once", once).where("_once = 1").select("node", F.size("hashes").alias("n"), "hashes"))
+    asked = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"), F.col("node").alias("wanted"))
+    found = _sets(texts.join(asked, "doc_id").select("doc_id", "text", "wanted"), shingle, True)
+    if rows.groupBy("doc_id", "node").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():  # rows that repeat an id and a text
+        once = F.row_number().over(Window.partitionBy("node").orderBy("doc_id"))
+        found = found.withColumn("_once", once).where("_once = 1")
+    sets = cut(found.select("node", F.size("hashes").alias("n"), "hashes"))
 
     # places of the shingles that stand in several sets, behind those that stand in no other
     tokens = sets.select("node", "n", F.explode("hashes").alias("token"))

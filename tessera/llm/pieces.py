@@ -352,7 +352,7 @@ class _Segments(dict):
     """
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.kept = model, KEPT
         self.old: dict[str, tuple[str, str, str]] = {}
 
     def __missing__(self, segment: str) -> tuple[str, str, str]:
@@ -364,7 +364,7 @@ class _Segments(dict):
             else:
                 value = self.model.written(self.model.segment_ids(segment))
         if len(segment) <= 64:
-            if len(self) >= KEPT:
+            if len(self) >= self.kept:
                 self.old = self.copy()
                 self.clear()
             self[segment] = value
@@ -393,17 +393,18 @@ def _from_broadcast(shared) -> Model:
 
 
 def token_digests(
-    docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, sizes_sha256`` of every whole text, and ``ids`` if asked for.
 
-    ``sizes_sha256`` is the digest of the number of source bytes that each piece stands for.
+    ``sizes_sha256`` is the digest of the number of source bytes that each piece stands for.  A worker keeps up to ``kept`` segments with their tokens.
     """
     get = _worker_model(docs, model_path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "sizes_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = get()
+        model.segments.kept = kept
         for batch in batches:
             counts, ids_hash, text_hash, size_hash, ids = [], [], [], [], []
             for cell in batch.column(1):

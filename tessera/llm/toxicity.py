@@ -203,12 +203,14 @@ def fit_toxicity(
     counterfactual: float = 50.0,
     prefixes: tuple[int, ...] = PREFIXES,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
+    held: int = 400_000,
 ) -> ToxicityModel:
     """Fit the classifier on a sample of at most ``max_rows`` labelled rows.
 
     Features are screened by their log-odds ratio over its standard error: all of at least
     ``min_strength`` that stand in ``min_rows`` rows take part, and so do the features of
-    identity terms.  ``cross_validate`` is how the defaults were chosen.
+    identity terms.  ``cross_validate`` is how the defaults were chosen.  A task counts up to
+    ``held`` features before it hands them on.
     """
     rows = cut(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows))
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
@@ -229,7 +231,7 @@ def fit_toxicity(
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 by_class[toxic].update(text_features(set(_WORD.findall((text.as_py() or "").lower())), prefixes))
-                if len(by_class[0]) + len(by_class[1]) > 400_000:
+                if len(by_class[0]) + len(by_class[1]) > held:
                     yield flush()
         yield flush()
 
