@@ -27,10 +27,13 @@ from tessera.llm.toxicity import reject_toxic
 from tessera.session import cut
 from tessera.sources.tables import table
 
+#: Entries of the tables in Python workers, which outlive a stage: features counted, and segments with their tokens.
+HELD, KEPT = 100_000, 40_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of the folder."""
-    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+    return reject_toxic(docs, table(spark, sf_dir, "labels"), held=HELD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and digests of ids and decoded text."""
-    return token_digests(docs, piece_model_path(), with_ids=True)
+    return token_digests(docs, piece_model_path(), with_ids=True, kept=KEPT)
 
 
 STAGES = [
