@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import strings
+from ..session import cut
 
 
 def tag(tree: Column) -> Column:
@@ -48,6 +50,67 @@ def matches(tree: Column, pattern: list[str | None]) -> Column:
     return F.coalesce(reduce(Column.__and__, tests, same_size), F.lit(False))
 
 
+#: Stands for anything in a pattern.
+ANY = "_"
+
+
+def pattern_test(node: Column, pattern: object) -> Column:
+    """Whether a tree ``[kind, attributes, children...]``, a VARIANT, is what a pattern describes.
+
+    ``"_"`` is anything.  ``[kind, "_", "_"]`` and ``[kind, "_", "_", "_"]`` ask for the kind, ``[kind, {name: value}, "_"]``
+    for attributes besides, at any depth of objects, ``[kind, operator, "_", "_"]`` for a second element that is text.
+    Any other pattern is the whole tree itself.
+    """
+    at = lambda path, kind: F.try_variant_get(node, path, kind)
+    if pattern == ANY:
+        return F.lit(True)
+    tests = None
+    if isinstance(pattern, list) and len(pattern) in (3, 4) and isinstance(pattern[0], str) and all(p == ANY for p in pattern[2:]):
+        if pattern[1] == ANY:
+            tests = []
+        elif len(pattern) == 3 and isinstance(pattern[1], dict):
+            tests = list(_attribute_tests(at, "$[1]", pattern[1]))
+        elif len(pattern) == 4 and isinstance(pattern[1], str):
+            tests = [at("$[1]", "string") == pattern[1]]
+    if tests is None:
+        return F.coalesce(F.to_json(node) == json.dumps(pattern, separators=(",", ":"), ensure_ascii=False, sort_keys=True), F.lit(False))
+    return F.coalesce(reduce(Column.__and__, tests, at("$[0]", "string") == pattern[0]), F.lit(False))
+
+
+def _attribute_tests(at, path: str, wanted: dict):
+    for name, value in wanted.items():
+        if isinstance(value, dict):
+            yield from _attribute_tests(at, f"{path}.{name}", value)
+        else:
+            kind = {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+            yield at(f"{path}.{name}", kind) == F.lit(value)
+
+
+def tree_nodes(rows: DataFrame, most_levels: int = 64) -> DataFrame:
+    """``id, depth, node`` of every subtree of the trees of ``id, tree`` (JSON text), as VARIANTs; text that is no JSON has none.
+
+    Level by level: children are the arrays from the third element on.  A tree of more than ``most_levels`` is an error.
+    """
+    spark = rows.sparkSession
+    level = cut(rows.select("id", F.lit(0).alias("depth"), F.try_parse_json("tree").alias("node")).where("node IS NOT NULL"))
+    levels = [level]
+    for depth in range(1, most_levels + 1):
+        children = level.select("id", "node").lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        below = children.where((F.col("pos") >= 2) & F.startswith(F.schema_of_variant("value"), F.lit("ARRAY")))
+        level = cut(below.select("id", F.lit(depth).alias("depth"), F.col("value").alias("node")))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
+    raise ValueError(f"a tree has more than {most_levels} levels")
+
+
+def find_patterns(nodes: DataFrame, patterns: dict[str, object]) -> DataFrame:
+    """``pattern, id, depth, node`` of the subtrees that each named pattern describes, at any depth; depth 0 is the tree itself."""
+    found = [F.when(pattern_test(F.col("node"), p), F.lit(name)) for name, p in patterns.items()]
+    named = nodes.select(F.explode(F.array_compact(F.array(*found))).alias("pattern"), "id", "depth", "node")
+    return named
+
+
 # Features of a tree's root by its kind, and by an attribute of it.
 FEATURES = {
     "collection_op": ("collection", "iteration", "transform"),

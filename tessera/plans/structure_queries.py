@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clones, communities, neighbour_graph, paths
+from ..operators import clones, communities, equivalence, neighbour_graph, paths
 from ..sources import adapters as a
 from ..sources.adapters import sql_with, table
 
@@ -53,7 +53,33 @@ def clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.clone_pairs(files, clones.clone_spans(files))
 
 
-QUERIES = {f.__name__: f for f in (louvain, find_paths, path_warnings, ann_search, clone_spans, clone_pairs)}
+def _order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as syntax trees: a definition with a call for each line, which holds its quantity."""
+    call = F.concat(
+        F.lit('["function_call",{"name":"'), "l_returnflag", F.lit('","at":{"line":'), F.col("l_linenumber").cast("string"), F.lit('}},["literal",{},'), F.col("l_quantity").cast("long").cast("string"), F.lit("]]")
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), call.alias("call"))
+    by = lines.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("call")), ",").alias("calls"))
+    head = F.concat(F.lit('["function_def","'), "o_orderstatus", F.lit('",'), "calls", F.lit("]"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(by, "o_orderkey").select(F.col("o_orderkey").alias("id"), head.alias("tree"))
+
+
+PATTERNS = {
+    "anything": "_",
+    "any_call": ["function_call", "_", "_"],
+    "first_return": ["function_call", {"name": "R", "at": {"line": 1}}, "_"],
+    "finished": ["function_def", "F", "_", "_"],
+    "seven": ["literal", {}, 7],
+}
+
+
+def tree_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many subtrees of orders as syntax trees each of five patterns describes, and in how many trees."""
+    found = equivalence.find_patterns(equivalence.tree_nodes(_order_trees(spark, sf_dir)), PATTERNS)
+    return found.groupBy("pattern").agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("trees"), F.max("depth").alias("deepest"))
+
+
+QUERIES = {f.__name__: f for f in (louvain, find_paths, path_warnings, ann_search, clone_spans, clone_pairs, tree_patterns)}
 
 
 def _louvain_sql(levels: int, rounds: int) -> str:
@@ -126,4 +152,9 @@ ORACLE = {
         shares AS (SELECT file1, file2, round(shared / greatest(len(a.tokens) - 7, len(b.tokens) - 7)::DOUBLE, 6) AS similarity
           FROM covered JOIN classes a ON a.path = file1 JOIN classes b ON b.path = file2)
         SELECT file1, file2, kind, similarity FROM equal UNION ALL SELECT file1, file2, 'III', similarity FROM shares WHERE similarity >= 0.8""",
+    "tree_patterns": """WITH l AS (SELECT l_orderkey AS id, l_returnflag, l_linenumber, CAST(l_quantity AS BIGINT) AS q, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        n AS (SELECT DISTINCT id, 0 AS depth, 'anything' AS pattern, 0 AS k FROM l UNION ALL SELECT DISTINCT id, 0, 'finished', 0 FROM l WHERE s = 'F'
+          UNION ALL SELECT id, 1, 'anything', 1 FROM l UNION ALL SELECT id, 2, 'anything', 2 FROM l UNION ALL SELECT id, 1, 'any_call', 0 FROM l
+          UNION ALL SELECT id, 1, 'first_return', 0 FROM l WHERE l_returnflag = 'R' AND l_linenumber = 1 UNION ALL SELECT id, 2, 'seven', 0 FROM l WHERE q = 7)
+        SELECT pattern, count(*) AS nodes, count(DISTINCT id) AS trees, CAST(max(depth) AS INTEGER) AS deepest FROM n GROUP BY pattern""",
 }

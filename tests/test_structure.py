@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clones, communities, graph, neighbour_graph, paths, similarity
+from tessera.operators import clones, communities, equivalence, graph, neighbour_graph, paths, similarity
 
 
 def edge_frame(spark, edges):
@@ -231,3 +231,24 @@ def test_simple_paths_and_first_paths_agree(spark):
     one = spark.createDataFrame([(1, 4)], "src long, dst long")
     found = {tuple(r.path) for r in paths.find_paths(e, one, max_depth=3, max_paths=None).collect()}
     assert found == {tuple(r.path) for r in graph.simple_paths(e, 3).where("src = 1 AND dst = 4").collect()}
+
+
+# --- patterns of trees ----------------------------------------------------------------------------------------------
+
+
+def test_patterns_at_any_depth(spark):
+    inner = '["binary_op","+",["literal",{"value":1,"at":{"line":3}},[]],["literal",{"value":2},[]]]'
+    rows = [(1, f'["loop",{{"loop_type":"for"}},{inner}]'), (2, inner), (3, "no json"), (4, None), (5, '"leaf"')]
+    nodes = equivalence.tree_nodes(spark.createDataFrame(rows, "id int, tree string"))
+    patterns = {
+        "any": "_", "kind": ["literal", "_", "_"], "old_kind": ["binary_op", "_", "_", "_"], "attributes": ["literal", {"value": 1, "at": {"line": 3}}, "_"],
+        "other_attribute": ["literal", {"value": 9}, "_"], "operator": ["binary_op", "+", "_", "_"], "itself": ["literal", {"value": 2}, []], "leaf": "leaf",
+    }
+    got = {}
+    for r in equivalence.find_patterns(nodes, patterns).collect():
+        got.setdefault(r.pattern, []).append((r.id, r.depth))
+    assert sorted(got.pop("any")) == [(1, 0), (1, 1), (1, 2), (1, 2), (1, 3), (1, 3), (2, 0), (2, 1), (2, 1), (2, 2), (2, 2), (5, 0)]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "kind": [(1, 2), (1, 2), (2, 1), (2, 1)], "old_kind": [(1, 1), (2, 0)], "attributes": [(1, 2), (2, 1)],
+        "operator": [(1, 1), (2, 0)], "itself": [(1, 2), (2, 1)], "leaf": [(5, 0)],
+    }
