@@ -84,7 +84,7 @@ def packed_ranges(hits: DataFrame, budget: int = 8000, overlap: float = 0.6) ->
     """``query_id, rank, id, start, end, size`` of the pieces that fit, best first, without those that repeat lines.
 
     Takes ``query_id, rank, id, start, end, size`` (lines, both ends included, and bytes) with a bounded number of
-    pieces a query.  A piece that does not fit is skipped, and so is one that shares over ``overlap`` of the lines of
+    pieces a query.  A piece that does not fit is skipped, and so is one that shares ``overlap`` or more of the lines of
     the shorter of the two with a piece of the same ``id`` that is taken already.
     """
     piece = "struct<rank: int, id: bigint, start: int, `end`: int, size: bigint>"
@@ -95,7 +95,7 @@ def packed_ranges(hits: DataFrame, budget: int = 8000, overlap: float = 0.6) ->
         def shares(y: Column) -> Column:
             lines = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) + 1
             shorter = F.least(x["end"] - x["start"], y["end"] - y["start"]) + 1
-            return (x["id"] == y["id"]) & (lines > overlap * shorter)
+            return (x["id"] == y["id"]) & (lines / shorter >= overlap)
 
         fits = (acc["used"] + x["size"] <= budget) & ~F.exists(acc["kept"], shares)
         return F.when(fits, F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -107,10 +107,15 @@ def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents of each item that fit a budget of 8,000 characters."""
-    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
-    hits = r.ranked(_bm25(spark, sf_dir), 10).join(sizes, "id")
-    return r.packed(hits, 8000)
+    """Windows of twenty lines of each item's ten best documents that fit 8,000 bytes and repeat each other little."""
+    hits = cut(r.ranked(_bm25(spark, sf_dir), 10).select("query_id", "id", F.col("rank").alias("_rank")))
+    docs = table(spark, sf_dir, "documents").join(hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    windows = r.chunks(docs, size=20, overlap=14, min_lines=10)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_rank", "chunk_index"))
+    pieces = hits.join(windows, "id").select(
+        "query_id", place.alias("rank"), "id", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.octet_length("chunk").alias("size")
+    )
+    return r.packed_ranges(pieces.where("rank <= 60"), 8000)
 
 
 def _results(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
@@ -260,11 +265,17 @@ ORACLE = {
     "rerank_blend": f"""WITH {_BM25}, n AS (SELECT query_id, id, round({_NORMAL}, 6) AS score FROM ranked WHERE rank <= 20 WINDOW q AS (PARTITION BY query_id)),
         b AS (SELECT query_id, id, round(0.6::DOUBLE * coalesce(quality * 10.0::DOUBLE, 5.0) / 10 + (1 - 0.6::DOUBLE) * score, 6) AS score FROM n LEFT JOIN labels ON doc_id = id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM b""",
-    "context_packing": f"""WITH RECURSIVE {_BM25}, hits AS MATERIALIZED (SELECT query_id, rank, id, CAST(length(text) AS BIGINT) AS size FROM ranked JOIN documents ON doc_id = id WHERE rank <= 10),
-        walk AS (SELECT query_id, 0 AS rank, 0::BIGINT AS used, 0::BIGINT AS id, 0::BIGINT AS size, false AS kept FROM (SELECT DISTINCT query_id FROM hits)
-          UNION ALL SELECT h.query_id, h.rank, CASE WHEN w.used + h.size <= 8000 THEN w.used + h.size ELSE w.used END, h.id, h.size, w.used + h.size <= 8000
-          FROM walk w JOIN hits h ON h.query_id = w.query_id AND h.rank = w.rank + 1)
-        SELECT query_id, rank, id, size FROM walk WHERE kept""",
+    "context_packing": f"""WITH RECURSIVE {_BM25}, l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IN (SELECT id FROM ranked WHERE rank <= 10)),
+        c AS (SELECT id, lines, CASE WHEN len(lines) < 10 THEN [0] ELSE range(0, len(lines), 6) END AS starts, CASE WHEN len(lines) < 10 THEN len(lines) ELSE 20 END AS width FROM l),
+        u AS (SELECT id, lines, width, unnest(starts) AS start, generate_subscripts(starts, 1) AS chunk_index FROM c),
+        p AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_index) AS place, id, start + 1 AS s, least(start + width, len(lines)) AS e,
+          strlen(array_to_string(lines[start + 1:start + width], chr(10))) AS size FROM ranked JOIN u USING (id) WHERE rank <= 10),
+        walk AS (SELECT query_id, 0::BIGINT AS place, 0::BIGINT AS id, 0::BIGINT AS s, 0::BIGINT AS e, 0::BIGINT AS size, 0::BIGINT AS used, [(0::BIGINT, 0::BIGINT, 0::BIGINT)][:0] AS kept, false AS taken FROM (SELECT DISTINCT query_id FROM p)
+          UNION ALL SELECT query_id, place, id, s, e, size, CASE WHEN ok THEN used + size ELSE used END, CASE WHEN ok THEN list_append(kept, (id, s, e)) ELSE kept END, ok FROM (
+            SELECT h.*, w.used, w.kept, w.used + h.size <= 8000 AND len(list_filter(w.kept, lambda k: k[1] = h.id
+              AND (least(k[3], h.e) - greatest(k[2], h.s) + 1) / (least(k[3] - k[2], h.e - h.s) + 1)::DOUBLE >= 0.6)) = 0 AS ok
+            FROM walk w JOIN p h ON h.query_id = w.query_id AND h.place = w.place + 1 WHERE h.place <= 60))
+        SELECT query_id, CAST(place AS INTEGER) AS rank, id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", size FROM walk WHERE taken""",
     "ir_metrics": f"WITH {_metrics_sql('x', 64)} SELECT * FROM ax",
     "strategy_delta": f"""WITH {_metrics_sql('x', 32)}, {_metrics_sql('y', 64)}
         SELECT round(ay.ndcg - ax.ndcg, 4) AS ndcg_delta, round(ay.mrr - ax.mrr, 4) AS mrr_delta, round(ay.precision - ax.precision, 4) AS precision_delta, round(ay.recall - ax.recall, 4) AS recall_delta FROM ax, ay""",

@@ -372,7 +372,7 @@ def test_packing_skips_pieces_that_repeat_lines(spark):
     for q in range(8):
         used, kept = 0, []
         for _, r, i, s, e, size in [x for x in rows if x[0] == q]:
-            repeats = any(i == j and min(e, f) - max(s, t) + 1 > 0.6 * (min(e - s, f - t) + 1) for j, t, f in kept)
+            repeats = any(i == j and (min(e, f) - max(s, t) + 1) / (min(e - s, f - t) + 1) >= 0.6 for j, t, f in kept)
             if used + size <= 400 and not repeats:
                 used, kept = used + size, [*kept, (i, s, e)]
                 want.add((q, r))
