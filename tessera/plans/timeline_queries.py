@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import timeline as t
 from ..sources.tables import table
 from ..streaming import events as streams
+from ..streaming import limits
 
 #: Prices of a thousand prompt and completion tokens by event type.
 PRICES = {"view": (0.01, 0.03), "click": (0.003, 0.015), "signup": (0.005, 0.015), "purchase": (0.0, 0.0)}
@@ -126,11 +127,21 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_seconds(F.col("start").cast("timestamp_ntz")).alias("start"), "event_type", "n")
 
 
+def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event type used in the minute, hour and day before each event, as state of a stream; the last hour still waits."""
+    own = spark.newSession()  # with a state store of its own choice
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set(*limits.STATE_STORE)
+    used = streams.finished(limits.trailing_usage(streams.event_stream(own, sf_dir)), "append")
+    return used.withColumnsRenamed({"key": "event_type", "id": "event_id"})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         event_runs, line_blocks, asof_enclosing, range_overlap, rate_limit_windows, debounce_sessions, context_budget, message_tail,
-        session_stats, recent_sessions, transitions, usage_cost, telemetry, expired_usage, stream_counters, stream_usage,
+        session_stats, recent_sessions, transitions, usage_cost, telemetry, expired_usage, stream_counters, stream_usage, stream_limits,
     )
 }
 
@@ -178,4 +189,9 @@ ORACLE = {
     "stream_counters": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "stream_usage": """WITH w AS (SELECT event_type, CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS s FROM events)
         SELECT start, event_type, count(*) AS n FROM (SELECT s AS start, event_type FROM w UNION ALL SELECT s - 1800, event_type FROM w) GROUP BY ALL""",
+    "stream_limits": "WITH e AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS secs, value, max(ts) OVER () - INTERVAL 1 HOUR AS done FROM events), w AS (SELECT event_id, event_type, secs, done, "
+    + ", ".join(f"count(*) OVER last_{w} AS n_{w}, round(sum(value) OVER last_{w}, 4) AS sum_{w}" for w in _TRAILING)
+    + " FROM e WINDOW "
+    + ", ".join(f"last_{w} AS (PARTITION BY event_type ORDER BY secs RANGE BETWEEN {s} PRECEDING AND CURRENT ROW)" for w, s in _TRAILING.items())
+    + ") SELECT * EXCLUDE (secs, done) FROM w WHERE secs < floor(epoch(done))",
 }
