@@ -165,11 +165,24 @@ def move_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.move_gain(edges, areas, moves).select("node", "to", F.round("gain", 6).alias("gain"))
 
 
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every caller of every called function, with the caller's node data."""
+    fns = a.functions(spark, sf_dir).select(F.col("fn").alias("caller"), F.col("module").alias("caller_module"), F.col("name").alias("caller_name"), F.col("arity").alias("caller_arity"))
+    return a.calls(spark, sf_dir).select(F.col("dst").alias("node"), F.col("src").alias("caller"), "weight").join(fns, "caller", "left")
+
+
+def filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to vector 0 whose function is public and of Asia."""
+    nodes = store.matching(a.functions(spark, sf_dir), {"visibility": "public", "area": "ASIA"})
+    hits = _near_probe(spark, sf_dir).join(nodes.select(F.col("fn").alias("id"), "module", "name"), "id")
+    return hits.orderBy(F.desc("score"), "id").limit(10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         affected_tests, chunk_search, four_list_fusion, scoped_search, smells, smell_summary, tracker_stats, functions_by_name, coupling_order,
-        operation_counts, line_requests, string_literals, comment_blocks, tree_features, enriched_queries, move_gains,
+        operation_counts, line_requests, string_literals, comment_blocks, tree_features, enriched_queries, move_gains, callers, filtered_hits,
     )
 }
 
@@ -199,6 +212,11 @@ ORACLE = {
         SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM fused) WHERE rank <= 20""",
     "scoped_search": f"""WITH {_BM25}, inside AS (SELECT * FROM bm25 WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en'))
         SELECT query_id, rank, id, score FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM inside) WHERE rank <= 5""",
+    "callers": sql_with("calls", "functions")
+    + " SELECT c.dst AS node, c.src AS caller, c.weight, f.module AS caller_module, f.name AS caller_name, f.arity AS caller_arity FROM calls c LEFT JOIN functions f ON f.fn = c.src",
+    "filtered_hits": sql_with("functions") + f""", q AS (SELECT embedding AS probe FROM embeddings WHERE vec_id = 0)
+        SELECT vec_id AS id, {_COS.format(a='embedding', b='probe')} AS score, module, name FROM embeddings JOIN functions ON fn = vec_id, q
+        WHERE vec_id <> 0 AND visibility = 'public' AND area = 'ASIA' ORDER BY score DESC, id LIMIT 10""",
     "smells": f"WITH {_SMELLS} SELECT path, smell, value, over FROM smells",
     "smell_summary": f"WITH {_SMELLS} SELECT smell, count(*) AS n, max(over) AS worst FROM smells GROUP BY smell",
     "tracker_stats": """WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS hash, len(string_split(text, chr(10))) AS lines FROM documents),
