@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clones, communities, equivalence, neighbour_graph, paths
+from ..operators import clones, communities, equivalence, leaders, neighbour_graph, paths, similarity
 from ..sources import adapters as a
 from ..sources.adapters import sql_with, table
+from .retrieval_queries import _PAIRS
 
 
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,14 @@ def tree_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("pattern").agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("trees"), F.max("depth").alias("deepest"))
 
 
-QUERIES = {f.__name__: f for f in (louvain, find_paths, path_warnings, ann_search, clone_spans, clone_pairs, tree_patterns)}
+def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in groups around leaders, each with a cosine of 0.3 or more to its leader."""
+    emb = table(spark, sf_dir, "embeddings")
+    links = similarity.similar_pairs(emb, 0.3).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    return leaders.leader_groups(emb.select(F.col("vec_id").alias("node")), links)
+
+
+QUERIES = {f.__name__: f for f in (louvain, find_paths, path_warnings, ann_search, clone_spans, clone_pairs, tree_patterns, similarity_groups)}
 
 
 def _louvain_sql(levels: int, rounds: int) -> str:
@@ -152,6 +160,13 @@ ORACLE = {
         shares AS (SELECT file1, file2, round(shared / greatest(len(a.tokens) - 7, len(b.tokens) - 7)::DOUBLE, 6) AS similarity
           FROM covered JOIN classes a ON a.path = file1 JOIN classes b ON b.path = file2)
         SELECT file1, file2, kind, similarity FROM equal UNION ALL SELECT file1, file2, 'III', similarity FROM shares WHERE similarity >= 0.8""",
+    "similarity_groups": f"""WITH RECURSIVE {_PAIRS}, linked AS (SELECT id1 AS id, id2 AS other FROM pairs WHERE score >= 0.3 UNION ALL SELECT id2, id1 FROM pairs WHERE score >= 0.3),
+        near AS (SELECT id, list(other) AS l FROM linked GROUP BY id),
+        n AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(l, []) AS l FROM embeddings LEFT JOIN near ON id = vec_id),
+        walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS led, 0::BIGINT AS node, 0::BIGINT AS leader
+          UNION ALL SELECT k, CASE WHEN own IS NULL THEN list_append(led, id) ELSE led END, id, coalesce(own, id) FROM (
+            SELECT n.k, n.id, w.led, list_min(list_intersect(n.l, w.led)) AS own FROM walk w JOIN n ON n.k = w.k + 1))
+        SELECT node, leader FROM walk WHERE k > 0""",
     "tree_patterns": """WITH l AS (SELECT l_orderkey AS id, l_returnflag, l_linenumber, CAST(l_quantity AS BIGINT) AS q, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         n AS (SELECT DISTINCT id, 0 AS depth, 'anything' AS pattern, 0 AS k FROM l UNION ALL SELECT DISTINCT id, 0, 'finished', 0 FROM l WHERE s = 'F'
           UNION ALL SELECT id, 1, 'anything', 1 FROM l UNION ALL SELECT id, 2, 'anything', 2 FROM l UNION ALL SELECT id, 1, 'any_call', 0 FROM l

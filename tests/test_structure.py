@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clones, communities, equivalence, graph, neighbour_graph, paths, similarity
+from tessera.operators import clones, communities, equivalence, graph, leaders, neighbour_graph, paths, similarity
 
 
 def edge_frame(spark, edges):
@@ -252,3 +252,22 @@ def test_patterns_at_any_depth(spark):
         "kind": [(1, 2), (1, 2), (2, 1), (2, 1)], "old_kind": [(1, 1), (2, 0)], "attributes": [(1, 2), (2, 1)],
         "operator": [(1, 1), (2, 0)], "itself": [(1, 2), (2, 1)], "leaf": [(5, 0)],
     }
+
+
+# --- leaders --------------------------------------------------------------------------------------------------------
+
+
+def test_leaders_are_those_of_one_row_after_another(spark):
+    rng = random.Random(12)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(110)] + [(i, i + 1) for i in range(100, 112)] + [(3, 3), (3, 999)]
+    nodes = [*range(80), *range(100, 113), 500]
+    near = {n: {b for a, b in links if a == n} | {a for a, b in links if b == n} for n in nodes}
+    want, led = {}, set()
+    for n in sorted(nodes):
+        own = sorted((near[n] - {n}) & led)
+        want[n] = own[0] if own else n
+        led |= set() if own else {n}
+    table = spark.createDataFrame([(n,) for n in nodes] + [(None,), (5,)], "node long")
+    got = leaders.leader_groups(table, spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.leader for r in got} == want and len(got) == len(nodes)
+    assert leaders.leader_groups(table.where("false"), spark.createDataFrame([], "a long, b long")).count() == 0
