@@ -41,11 +41,17 @@ OUTSIDE = frozenset(
 )
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that stand inside a block.
+#: Elements whose end tag counts only inside the block that they began in.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that begin and end a block; all others, unknown ones too, stand inside the block that they are in.
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre "
+    "search section summary table tbody td tfoot th thead title tr ul xmp".split()
+)
 #: Roles that mark an element as no content.
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
 #: Classes and ids that mark an element as no content, alone or with the words of ``AROUND``.
@@ -138,7 +144,7 @@ class PageLines(HTMLParser):
             self._places[tag].pop()
             if self._outside == at:
                 self._outside = None
-            if tag not in INLINE:
+            if tag in BLOCKS:
                 self._blocks.pop()
                 self._flush()
             if tag == "article" and not self._places[tag]:
@@ -157,7 +163,7 @@ class PageLines(HTMLParser):
             if tag == "hr":
                 self._flush()
             return
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self._flush()
             if self._blocks:
                 there = self._open[self._blocks[-1]]
@@ -172,7 +178,7 @@ class PageLines(HTMLParser):
         elif self._lifted and (first_article or tag == "main" and not self._main) and not (attrs and _mark(tag, attrs)):
             self._outside = None  # a class does not empty the page around its article
         self._places.setdefault(tag, []).append(len(self._open))
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self._blocks.append(len(self._open))
         self._open.append(tag)
         self._count += 1

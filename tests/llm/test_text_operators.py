@@ -280,6 +280,20 @@ def test_html_main_text():
     assert len(main_text("<article><p>" + "word " * 200_000)) == 999_999
 
 
+@pytest.mark.parametrize(
+    "inner",
+    ["<svg><path d=x /></svg>", "<script>var x = '<p>';</script>", "<picture><source><img src=a></picture>", "<button>Buy</button>", "<x-term>", "<canvas>no</canvas>", "<svg/>", "<b><i></b>"],
+)
+def test_html_block_goes_on_around_what_stands_inside_it(inner):
+    page = f"<body><article><p>Hello {inner} world, a longer sentence of an article.</p><p>And a second one.</p></article></body>"
+    assert main_text(page) == "Hello world, a longer sentence of an article.\nAnd a second one."
+
+
+def test_html_open_block_ends_with_the_element_around_it():
+    page = "<body><noscript><p>Switch it on</noscript><article><p>One long sentence of an article.<div>Two.</div>Three.</article></body>"
+    assert main_text(page) == "One long sentence of an article.\nTwo.\nThree."
+
+
 def test_html_clusters_select_regions():
     html = "<div><a href=1>one</a> <a href=2>two</a></div><div><p>" + "real content here " * 30 + "</p><p>short</p></div><div><span>x</span></div>"
     assert main_text(html) == ("real content here " * 30).strip() + "\nshort"
