@@ -44,15 +44,29 @@ def trailing(rows: DataFrame, key: str, at: str, amount: str, spans: dict[str, i
     """``rows`` with count and sum of the rows of the last so many seconds, both ends included, for each named span.
 
     Rows are dealt by key and stretch of time, a stretch as long as the longest span, and a
-    stretch sees the one before it besides; so a key of any size is many windows.
+    stretch sees the one before it besides; so a key of any size is many windows.  A span is what has come up to
+    a row less what had come before the span began, so the work grows with the rows and not with the rows
+    of a span.  Amounts that are not finite are counted apart, as a difference would not get rid of them.
     """
     width = max(spans.values())
     stretch = F.floor(F.col(at) / width)
+    value, no = F.col(amount).cast("double"), F.lit(0.0)
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     out = rows.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_stretch", stretch + F.when(F.col("_own"), 0).otherwise(1))
-    for name, seconds in spans.items():
-        w = Window.partitionBy(key, "_stretch").orderBy(at).rangeBetween(-seconds, 0)
-        out = out.withColumn(f"n_{name}", F.count("*").over(w)).withColumn(f"sum_{name}", F.round(F.sum(amount).over(w), 4))
-    return out.where("_own").drop("_own", "_stretch")
+    sums = {
+        "_rows": F.count("*"), "_given": F.count(amount), "_sum": F.sum(F.when(finite, value).otherwise(no)),
+        "_nan": F.count_if(F.isnan(value)), "_up": F.count_if(value == float("inf")), "_down": F.count_if(value == -float("inf")),
+    }
+    by = Window.partitionBy(key, "_stretch").orderBy(at)
+    ends = {"_": 0} | {f"_{name}_": -seconds - 1 for name, seconds in spans.items()}
+    for end, last in ends.items():
+        upto = by.rangeBetween(Window.unboundedPreceding, last)
+        out = out.withColumns({f"{end}{c}": F.coalesce(s.over(upto), F.lit(0)) for c, s in sums.items()})
+    for name in spans:
+        n, given, total, nan, up, down = (F.col(f"_{c}") - F.col(f"_{name}_{c}") for c in sums)
+        infinite = F.when((nan > 0) | ((up > 0) & (down > 0)), float("nan")).when(up > 0, float("inf")).when(down > 0, -float("inf"))
+        out = out.withColumns({f"n_{name}": n, f"sum_{name}": F.when(given > 0, F.round(F.coalesce(infinite, total), 4))})
+    return out.where("_own").drop("_own", "_stretch", *[f"{end}{c}" for end in ends for c in sums])
 
 
 def debounced(events: DataFrame, at: str, gap: str, *keys: str, **aggregates: Column) -> DataFrame:

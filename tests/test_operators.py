@@ -205,6 +205,19 @@ def test_suggestion_means_do_not_show_the_order_of_a_sum(spark):
     assert analysis.suggestion_stats(rows).first().avg_score == 0.42  # 0.4195, which a sum of doubles misses by 7e-17
 
 
+def test_trailing_sums_do_not_walk_through_their_span(spark):
+    odd = [None, float("nan"), float("inf"), -float("inf"), 2.5]
+    data = [(i, "ab"[i % 2], i * 40_000 // 7, odd[i % 5] if i % 50 < 5 else i % 9 / 4) for i in range(100)]
+    got = timeline.trailing(spark.createDataFrame(data, "id int, k string, at long, v double"), "k", "at", "v", {"hour": 3600, "day": 86400})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    for r in got.collect():
+        for name, span in (("hour", 3600), ("day", 86400)):
+            seen = [x[3] for x in data if x[1] == r.k and r["at"] - span <= x[2] <= r["at"]]
+            given = [x for x in seen if x is not None]
+            assert r[f"n_{name}"] == len(seen) and repr(r[f"sum_{name}"]) == repr(round(sum(given), 4) if given else None), (r, name)
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, "x")], "node string, seq int, v string")
     assert mapped(store.upsert(rows, ["node"], "seq"), "node", "v") == {"f": "new", "g": "x"}
