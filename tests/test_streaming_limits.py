@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from unittest.mock import MagicMock
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +49,29 @@ def test_first_limit_that_is_exceeded(spark):
     usage = spark.createDataFrame([(1, 61, 5.0), (2, 3, 200.0), (3, 3, 5.0)], "id int, n_minute long, sum_day double")
     got = {r.id: r.over for r in limits.over_limits(usage, {"n_minute": 60, "sum_day": 100}).collect()}
     assert got == {1: "n_minute", 2: "sum_day", 3: None}
+
+
+def test_a_batch_costs_a_few_state_calls_and_a_stretch_is_dropped_whole():
+    stored = {}
+
+    def state(name, schema):
+        held, calls = stored.setdefault(name, []), MagicMock()
+        calls.appendValue.side_effect = held.append
+        calls.get.side_effect = lambda: iter(list(held))
+        calls.clear.side_effect = held.clear
+        return calls
+
+    handle, timers = MagicMock(), MagicMock()
+    handle.getListState.side_effect = state
+    processor = limits._Trailing({"minute": 60, "day": 86400})
+    processor.init(handle)
+    rows = pd.DataFrame({"id": range(2000), "second": [86400 + i // 2 for i in range(2000)], "amount": 0.5, "own": [i >= 100 for i in range(2000)]})
+    assert list(processor.handleInputRows(("a", 1), iter([rows]), timers)) == []
+    used = processor.seconds.method_calls + processor.waiting.method_calls + handle.registerTimer.call_args_list
+    assert len(used) <= 3  # the store is asked by batch, not by second
+    timers.getCurrentWatermarkInMs.return_value = 2 * 86_400_000
+    (out,) = processor.handleExpiredTimer(("a", 1), timers, None)
+    last = out.iloc[-1]
+    assert len(out) == 1900 and (last.n_minute, last.sum_minute, last.n_day, last.sum_day) == (122, 61.0, 2000, 1000.0)
+    assert stored == {"seconds": [], "waiting": []}
+    assert list(processor.handleExpiredTimer(("a", 1), timers, None)) == []  # a timer that is left over
