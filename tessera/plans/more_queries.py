@@ -12,12 +12,15 @@ from ..sources.adapters import sql_with, table
 
 
 def jaro_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names of the same brand and size with a Jaro similarity above 0.8."""
-    parts = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name")
-    other = parts.select("p_brand", "p_size", F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"))
-    pairs = parts.join(other, ["p_brand", "p_size"]).where("p_partkey < other")
-    scored = pairs.select("p_partkey", "other", F.round(x.jaro("p_name", "other_name"), 6).alias("score"))
-    return scored.where("score > 0.8")
+    """Part names of the same brand and size with a Jaro similarity above 0.8; two names are compared once, however many parts have them."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name").where("p_name IS NOT NULL")
+    names = parts.select("p_brand", "p_size", "p_name").distinct()
+    pairs = names.join(names.withColumnRenamed("p_name", "other_name"), ["p_brand", "p_size"])
+    scored = pairs.select("p_name", "other_name").distinct().withColumn("score", F.round(x.jaro("p_name", "other_name"), 6))
+    near = pairs.join(scored.where("score > 0.8"), ["p_name", "other_name"])
+    other = parts.withColumnsRenamed({"p_partkey": "other", "p_name": "other_name"})
+    met = parts.join(near, ["p_brand", "p_size", "p_name"]).join(other, ["p_brand", "p_size", "other_name"])
+    return met.where("p_partkey < other").select("p_partkey", "other", "score")
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ import random
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import clones, communities, equivalence, graph, leaders, neighbour_graph, paths, similarity
+from tessera.plans import more_queries
 
 
 def edge_frame(spark, edges):
@@ -271,3 +274,24 @@ def test_leaders_are_those_of_one_row_after_another(spark):
     got = leaders.leader_groups(table, spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.leader for r in got} == want and len(got) == len(nodes)
     assert leaders.leader_groups(table.where("false"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- names ----------------------------------------------------------------------------------------------------------
+
+
+def test_equal_names_are_compared_once(spark, tmp_path, monkeypatch):
+    names = ["red bolt", "red bolts", "steel pipe", None]
+    rows = [(i, "B", i % 2, names[i // 2 % 4]) for i in range(160)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        asked.add(len(a))
+        return pd.Series([text.jaro_of(x, y) for x, y in zip(a, b, strict=True)])
+
+    monkeypatch.setattr(text, "jaro", counted)
+    got = {(r.p_partkey, r.other): r.score for r in more_queries.jaro_names(spark, str(tmp_path)).collect()}
+    want = {(a[0], b[0]): round(text.jaro_of(a[3], b[3]), 6) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[3] and b[3]}
+    assert got == {k: v for k, v in want.items() if v > 0.8}
+    assert 0 < asked.value < 100 < len(want)  # a plan may ask for the nine pairs of names more than once
