@@ -276,6 +276,13 @@ def test_leaders_are_those_of_one_row_after_another(spark):
     assert leaders.leader_groups(table.where("false"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path_keep_their_estimated_size(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1000), (1001, None), (5, 5)], "src long, dst long")
+    found = graph.components(path)
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(401)} | {(1000, 1000)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**40  # digits that multiply from round to round fill the driver
+
+
 # --- names ----------------------------------------------------------------------------------------------------------
 
 
