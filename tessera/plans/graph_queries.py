@@ -47,7 +47,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each component of the graph of suppliers and the parts they supply."""
-    li = a.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    li = a.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     edges = li.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     return g.components(edges).groupBy("component").agg(F.count("*").alias("nodes"))
 
