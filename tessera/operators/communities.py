@@ -4,7 +4,8 @@ The graph of a level is kept as rows ``node, near, weight`` in both directions;
 inner weight is a row to itself.  All nodes of a round move at once, and only to communities
 of smaller names in one round, of larger ones in the next, so that no two nodes change places.
 A round counts if modularity rises; two rounds in a row that do not count end the level.  So
-modularity never falls, from round to round and from level to level.
+modularity never falls, from round to round and from level to level.  All tables grow with the graph,
+so their joins are told to shuffle: nothing of them goes through the driver.
 
 Defined cases: edges with a null end are left out; repeated edges and both directions of an edge
 add up; a missing weight is 1; self-loops are inner weight; without edges the result is empty;
@@ -33,7 +34,7 @@ def _named(near: DataFrame, where: DataFrame) -> DataFrame:
     """The rows of a level with the communities of both ends, ``community`` and ``to``."""
     a = where.select("node", "community")
     b = where.select(F.col("node").alias("near"), F.col("community").alias("to"))
-    return near.join(b, "near").join(a, "node")
+    return near.join(b.hint("merge"), "near").join(a.hint("merge"), "node")
 
 
 def _quality(named: DataFrame, resolution: float, whole: float) -> float:
@@ -49,17 +50,17 @@ def _moves(named: DataFrame, resolution: float, whole: float, down: bool) -> Dat
     pull = named.groupBy("node", "community", "to").agg(F.sum(F.when(F.col("node") != F.col("near"), F.col("weight")).otherwise(0.0)).alias("w"), F.sum("weight").alias("_w"))
     degree = pull.groupBy("node", "community").agg(F.sum("_w").alias("degree"), F.sum(F.when(F.col("to") == F.col("community"), F.col("w")).otherwise(0.0)).alias("own"))
     total = degree.groupBy("community").agg(F.sum("degree").alias("total"))
-    here = degree.join(total, "community")
+    here = degree.join(total.hint("merge"), "community")
     side: Column = F.col("to") < F.col("community") if down else F.col("to") > F.col("community")
     asked = pull.where(side & (F.col("w") > 0)).select("node", "to", "w")
     there = total.select(F.col("community").alias("to"), F.col("total").alias("of_to"))
     # twice the total weight times the gain in inner weight, less what the degrees let expect
     gain = F.lit(whole) * (F.col("w") - F.col("own")) - F.lit(resolution) * F.col("degree") * (F.col("of_to") - F.col("total") + F.col("degree"))
     best = (
-        asked.join(here, "node").join(there, "to").withColumn("gain", gain).where("gain > 0")
+        asked.join(here.hint("merge"), "node").join(there.hint("merge"), "to").withColumn("gain", gain).where("gain > 0")
         .groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("gain"), F.col("to")))["to"].alias("to"))
     )
-    return degree.select("node", "community").join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"))
+    return degree.select("node", "community").join(best.hint("merge"), "node", "left").select("node", F.coalesce("to", "community").alias("community"))
 
 
 def settled(near: DataFrame, resolution: float = 1.0, rounds: int = 20) -> tuple[DataFrame, float]:
@@ -104,7 +105,7 @@ def louvain(
             members = where
         else:
             up = where.select(F.col("node").alias("community"), F.col("community").alias("to"))
-            members = stored(members.join(up, "community").select("node", F.col("to").alias("community")))
+            members = stored(members.join(up.hint("merge"), "community").select("node", F.col("to").alias("community")))
         levels.append(members.select(F.lit(level).alias("level"), "node", "community", F.lit(quality).alias("modularity")))
         last = quality
         near = stored(contracted(near, where))
