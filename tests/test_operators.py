@@ -218,6 +218,15 @@ def test_trailing_sums_do_not_walk_through_their_span(spark):
             assert r[f"n_{name}"] == len(seen) and repr(r[f"sum_{name}"]) == repr(round(sum(given), 4) if given else None), (r, name)
 
 
+def test_bm25_sums_scores_where_the_counts_are(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} a") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b1 c2"), (2, "b2"), (3, "none")], "item_id long, text string")
+    found = retrieval.bm25(docs, queries)
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each query and term is shuffled
+    shared = {(r.query_id, r.id): r.shared for r in found.collect()}
+    assert shared == {(1, i): 1.0 + (i % 3 == 1) + (i % 5 == 2) for i in range(40)} | {(2, i): 1.0 for i in range(2, 40, 3)}
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, "x")], "node string, seq int, v string")
     assert mapped(store.upsert(rows, ["node"], "seq"), "node", "v") == {"f": "new", "g": "x"}
