@@ -1,7 +1,8 @@
 """All-pairs and nearest-neighbour search by blocks of vectors.
 
 Rows are dealt into blocks of bounded size by a hash; each pair of blocks is one
-group, whose scores are one matrix product.  What leaves a group is bounded by k a
+group, whose scores are matrix products of ``STRIPE`` rows with a block.  A row is sent once for each block, so
+large blocks keep the shuffle small, and stripes the memory.  What leaves a group is bounded by k a
 row, or by what passes the threshold.  Vectors that are null, or hold null, NaN or
 infinite components, or are not of the most usual length, take no part; a zero vector
 scores 0 with every other.
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
+#: Rows of a block that are scored at a time.
+STRIPE = 1024
+
 
 def _unit(column) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -48,7 +52,7 @@ def _block_pairs(vectors: DataFrame, id_col: str, vector_col: str, block: int, o
 
 
 def similar_pairs(
-    vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 2048
+    vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 8192
 ) -> DataFrame:
     """``id1, id2, score`` of all pairs, each once, whose rounded cosine is at least ``threshold``; zero vectors score 0."""
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -56,19 +60,23 @@ def similar_pairs(
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"id1": left["id"].slice(0, 0), "id2": left["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        scores = np.round(_unit(left["v"]) @ _unit(right["v"]).T, digits)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        i, j = np.nonzero(scores >= threshold)
-        if left["a"][0].as_py() == left["b"][0].as_py():
-            keep = a[i] < b[j]
-            i, j = i[keep], j[keep]
-        return pa.table({"id1": np.minimum(a[i], b[j]), "id2": np.maximum(a[i], b[j]), "score": scores[i, j]})
+        other, b, same = _unit(right["v"]).T, right["id"].to_numpy(), left["a"][0].as_py() == left["b"][0].as_py()
+        parts = []
+        for at in range(0, left.num_rows, STRIPE):
+            a = left["id"].slice(at, STRIPE).to_numpy()
+            scores = np.round(_unit(left["v"].slice(at, STRIPE)) @ other, digits)
+            i, j = np.nonzero(scores >= threshold)
+            if same:
+                keep = a[i] < b[j]
+                i, j = i[keep], j[keep]
+            parts.append(pa.table({"id1": np.minimum(a[i], b[j]), "id2": np.maximum(a[i], b[j]), "score": scores[i, j]}))
+        return pa.concat_tables(parts)
 
     return _block_pairs(vectors, id_col, vector_col, block, True).applyInArrow(compare, f"id1 {kind}, id2 {kind}, score double")
 
 
 def nearest(
-    vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 2048
+    vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 8192
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the ``k`` rows of largest rounded cosine to each row, ties to the smaller id."""
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -76,8 +84,11 @@ def nearest(
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": left["id"].slice(0, 0), "id": left["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        scores = np.round(_unit(left["v"]) @ _unit(right["v"]).T, digits)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        other, b = _unit(right["v"]).T, right["id"].to_numpy()
+        return pa.concat_tables([best_of(left.slice(at, STRIPE), other, b) for at in range(0, left.num_rows, STRIPE)])
+
+    def best_of(left: pa.Table, other: np.ndarray, b: np.ndarray) -> pa.Table:
+        scores, a = np.round(_unit(left["v"]) @ other, digits), left["id"].to_numpy()
         scores[a[:, None] == b] = -np.inf
         if k < scores.shape[1]:
             kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]

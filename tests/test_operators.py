@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,16 @@ def test_bm25_sums_scores_where_the_counts_are(spark):
     assert shared == {(1, i): 1.0 + (i % 3 == 1) + (i % 5 == 2) for i in range(40)} | {(2, i): 1.0 for i in range(2, 40, 3)}
 
 
+def test_large_blocks_are_scored_in_stripes(spark):
+    stripe, n = similarity.STRIPE, similarity.STRIPE + 200
+    angle = [(i * 37 % n) * 0.001 for i in range(n)]
+    rows = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angle)], "vec_id long, embedding array<double>")
+    got = {r.query_id: r.id for r in similarity.nearest(rows, 1).collect()}
+    assert len(got) == n and all(abs(angle[i] - angle[j]) < 0.0015 for i, j in got.items())
+    pairs = {(r.id1, r.id2) for r in similarity.similar_pairs(rows, round(math.cos(0.0015), 9), digits=9).collect()}
+    assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if abs(angle[i] - angle[j]) < 0.0012} and stripe < n
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, "x")], "node string, seq int, v string")
     assert mapped(store.upsert(rows, ["node"], "seq"), "node", "v") == {"f": "new", "g": "x"}
