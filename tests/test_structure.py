@@ -196,6 +196,19 @@ def test_spans_are_maximal_and_whole(spark):
     assert clones.clone_spans(clones.token_files(table.where("false"))).count() == 0
 
 
+def test_spans_beside_common_runs_need_no_row_for_each_run(spark, monkeypatch):
+    line = lambda c: " ".join(c * (i + 1) for i in range(13))
+    files = {f"f{i}": f"{line('h')} {' '.join(chr(98 + i) * (j + 2) for j in range(9))} {line('h')}" for i in range(5)}
+    files |= {f"g{i}": f"{files['f4']} {line('xyz'[i])} {line('u')} {line('h')}" for i in range(3)} | {"long": " ".join([line("u")] + ["w" * (i % 50 + 1) + "v" * (i // 50 + 1) for i in range(2000)] + [line("u")])}
+    tokens = clones.token_files(spark.createDataFrame([*files.items()], "path string, text string"))
+    monkeypatch.setattr(clones, "_runs", None)  # a row for each run of a file, which all diagonals were joined with
+    spans = clones.clone_spans(tokens, k=4, window=3, most=5)
+    got, every = {tuple(r) for r in spans.collect()}, plain_spans(files, 4, 3)
+    met = {(a, b, j - i) for a, b, _, i, j, _ in got}
+    assert got <= every and {g for g in every if (g[0], g[1], g[4] - g[3]) in met} == got  # whole diagonals, common runs and all
+    assert {(g[0], g[1]) for g in got} == {("f4", "g0"), ("f4", "g1"), ("f4", "g2"), ("g0", "g1"), ("g0", "g2"), ("g1", "g2"), ("g0", "long"), ("g1", "long"), ("g2", "long")}
+
+
 def test_common_runs_become_classes_not_pairs(spark):
     header = "one two three four five six seven eight nine ten eleven twelve"
     table = spark.createDataFrame([(f"f{i:02}", f"{header} {' '.join(f'w{i}x{j}'.replace('0', 'o') + chr(97 + i) * (j + 1) for j in range(6))}") for i in range(20)], "path string, text string")
