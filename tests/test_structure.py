@@ -209,6 +209,15 @@ def test_spans_beside_common_runs_need_no_row_for_each_run(spark, monkeypatch):
     assert {(g[0], g[1]) for g in got} == {("f4", "g0"), ("f4", "g1"), ("f4", "g2"), ("g0", "g1"), ("g0", "g2"), ("g1", "g2"), ("g0", "long"), ("g1", "long"), ("g2", "long")}
 
 
+def test_shares_of_long_spans_need_no_row_for_each_run(spark):
+    files = spark.createDataFrame([(p, ["x"] * 23, ["x"] * 23) for p in "ab"], "path string, raw array<string>, tokens array<string>").withColumn("tokens", F.array_append("tokens", F.col("path")))
+    spans = [("a", "b", "II", 0, 3, 10), ("a", "b", "II", 2, 0, 4), ("a", "b", "II", 5, 5, 9), ("a", "b", "II", 16, 16, 8)]
+    share = lambda rows: clones.clone_pairs(files, spark.createDataFrame(rows, "file1 string, file2 string, kind string, start1 int, start2 int, tokens long"), k=4, threshold=0.0).collect()
+    want = {i for _, _, _, at, _, n in spans for i in range(at, at + n - 3)}
+    assert [tuple(r) for r in share(spans)] == [("a", "b", "III", round(len(want) / 21, 6))]
+    assert share([("a", "b", "II", 0, 0, 2_000_000_000)])[0].similarity > 1  # one row, however long
+
+
 def test_common_runs_become_classes_not_pairs(spark):
     header = "one two three four five six seven eight nine ten eleven twelve"
     table = spark.createDataFrame([(f"f{i:02}", f"{header} {' '.join(f'w{i}x{j}'.replace('0', 'o') + chr(97 + i) * (j + 1) for j in range(6))}") for i in range(20)], "path string, text string")
