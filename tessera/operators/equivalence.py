@@ -73,7 +73,10 @@ def pattern_test(node: Column, pattern: object) -> Column:
         elif len(pattern) == 4 and isinstance(pattern[1], str):
             tests = [at("$[1]", "string") == pattern[1]]
     if tests is None:
-        return F.coalesce(F.to_json(node) == json.dumps(pattern, separators=(",", ":"), ensure_ascii=False, sort_keys=True), F.lit(False))
+        whole = F.to_json(node) == json.dumps(pattern, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
+        if isinstance(pattern, list) and pattern and isinstance(pattern[0], str):  # nodes of other kinds need no text
+            whole = F.when(at("$[0]", "string") == pattern[0], whole)
+        return F.coalesce(whole, F.lit(False))
     return F.coalesce(reduce(Column.__and__, tests, at("$[0]", "string") == pattern[0]), F.lit(False))
 
 

@@ -279,6 +279,13 @@ def test_patterns_at_any_depth(spark):
     }
 
 
+def test_only_nodes_of_its_kind_are_written_out_for_a_whole_pattern(spark):
+    nodes = equivalence.tree_nodes(spark.createDataFrame([(1, '["call",{},["literal",{},7]]'), (2, '["literal",{},7]'), (3, '["literal",{},8]'), (4, '[7]')], "id int, tree string"))
+    test = equivalence.pattern_test(F.col("node"), ["literal", {}, 7])
+    assert [(r.id, r.depth) for r in nodes.where(test).orderBy("id").collect()] == [(1, 1), (2, 0)]
+    assert "CASE WHEN" in str(test) and str(test).index("try_variant_get") < str(test).index("to_json")
+
+
 # --- leaders --------------------------------------------------------------------------------------------------------
 
 
