@@ -149,6 +149,26 @@ def test_neighbour_graph_of_few_rows(spark):
     assert neighbour_graph.build(table.where("false")).count() == 0
 
 
+def test_walks_over_many_rows_keep_their_recall(spark):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(10000, 64)))], "vec_id long, embedding array<double>").cache()
+    exact = similarity.nearest(table, 10).where("query_id % 50 = 0").cache()
+    for more in ({}, {"shard": 1000}):  # one graph, and graphs of shards that each know a part of the rows
+        found = neighbour_graph.search(table, neighbour_graph.build(table, k=20, **more), F.col("vec_id") % 50 == 0, k=10, beam=100, open_at_once=8, **more).cache()
+        assert found.groupBy("query_id").count().where("count = 10").count() == 200
+        assert neighbour_graph.recall(found, exact).first().recall >= 0.9
+        assert found.join(exact.select("query_id", "id", F.col("score").alias("s")), ["query_id", "id"]).where("abs(score - s) > 1.5e-6").count() == 0
+
+
+def test_walks_among_copies_give_the_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(1000 + i, [1.0] * 8) for i in range(90)]
+    table = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    for more in ({}, {"shard": 100}):
+        found = neighbour_graph.search(table, neighbour_graph.build(table, k=8, **more), F.col("vec_id") == 1005, k=10, **more).collect()
+        assert [(r["rank"], r.id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(n + 1, 1000 + n + (n > 4), 1.0) for n in range(10)]
+
+
 # --- clones ---------------------------------------------------------------------------------------------------------
 
 
