@@ -1,24 +1,30 @@
 """All-pairs and nearest-neighbour search by blocks of vectors.
 
 Rows are dealt into blocks of bounded size by a hash; each pair of blocks is one
-group, whose scores are matrix products of ``STRIPE`` rows with a block.  A row is sent once for each block, so
-large blocks keep the shuffle small, and stripes the memory.  What leaves a group is bounded by k a
-row, or by what passes the threshold.  Vectors that are null, or hold null, NaN or
+group, whose scores are matrix products of a stripe of rows with a block.  A row is sent once for each block, so there
+are ``BLOCKS`` blocks, whose size grows with the table from ``LEAST`` to ``MOST`` rows, and what is sent grows with the rows;
+only beyond ``BLOCKS * MOST`` rows are there more blocks.  Stripes bound the memory: what a stripe finds leaves the
+group at once.  It is bounded by k a row, or by what passes the threshold.  Vectors that are null, or hold null, NaN or
 infinite components, or are not of the most usual length, take no part; a zero vector
 scores 0 with every other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine
 
-#: Rows of a block that are scored at a time.
-STRIPE = 1024
+#: Rows of a block that are scored at a time, at most, and scores that are held at a time.
+STRIPE, SCORES = 1024, 2**23
+#: Blocks, unless they would be smaller or larger than so many rows.
+BLOCKS, LEAST, MOST = 8, 8192, 65536
 
 
 def _unit(column) -> np.ndarray:
@@ -41,54 +47,69 @@ def usual_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Dat
     return rows.where(F.size("v") == (usual["length"] if usual else 0)), usual["count"] if usual else 0
 
 
-def _block_pairs(vectors: DataFrame, id_col: str, vector_col: str, block: int, one_way: bool):
+def _block_pairs(vectors: DataFrame, id_col: str, vector_col: str, block: int | None):
+    """Groups of each two blocks, and of each block alone: ``id, v, home`` with the row's block; ``a, b`` are the group's."""
     rows, n_rows = usual_vectors(vectors, id_col, vector_col)
-    n = max(1, -(-n_rows // block))
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every, home = F.sequence(F.lit(0), F.lit(n - 1)), F.col("home")
-    left = rows.select("id", "v", home.alias("a"), F.explode(F.filter(every, lambda b: b >= home) if one_way else every).alias("b"))
-    right = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), F.explode(F.filter(every, lambda b: b <= home) if one_way else every).alias("a"), home.alias("b"))
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    n = max(1, -(-n_rows // (block or min(max(-(-n_rows // BLOCKS), LEAST), MOST))))
+    other, home = F.explode(F.sequence(F.lit(0), F.lit(n - 1))), F.col("home")
+    met = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", other)
+    return met.select("id", "v", "home", F.least(home, "other").alias("a"), F.greatest(home, "other").alias("b")).groupBy("a", "b")
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of a group's two blocks, or of its one."""
+    ids, x, home = [], [], []
+    for batch in batches:
+        ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+        x.append(_unit(batch.column(1)))
+        home.append(batch.column(2).to_numpy())
+    ids, x, home = np.concatenate(ids), np.concatenate(x), np.concatenate(home)
+    return [(ids[home == block], x[home == block]) for block in np.unique(home)]
+
+
+def _stripes(x: np.ndarray, other: np.ndarray, digits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rounded cosines of a few rows at a time with all others, and where those rows begin."""
+    rows = max(1, min(STRIPE, SCORES // max(1, len(other))))
+    for at in range(0, len(x), rows):
+        yield at, np.round(x[at : at + rows] @ other.T, digits)
 
 
 def similar_pairs(
-    vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 8192
+    vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int | None = None
 ) -> DataFrame:
     """``id1, id2, score`` of all pairs, each once, whose rounded cosine is at least ``threshold``; zero vectors score 0."""
-    kind = vectors.schema[id_col].dataType.simpleString()
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id1": left["id"].slice(0, 0), "id2": left["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        other, b, same = _unit(right["v"]).T, right["id"].to_numpy(), left["a"][0].as_py() == left["b"][0].as_py()
-        parts = []
-        for at in range(0, left.num_rows, STRIPE):
-            a = left["id"].slice(at, STRIPE).to_numpy()
-            scores = np.round(_unit(left["v"].slice(at, STRIPE)) @ other, digits)
-            i, j = np.nonzero(scores >= threshold)
-            if same:
-                keep = a[i] < b[j]
-                i, j = i[keep], j[keep]
-            parts.append(pa.table({"id1": np.minimum(a[i], b[j]), "id2": np.maximum(a[i], b[j]), "score": scores[i, j]}))
-        return pa.concat_tables(parts)
-
-    return _block_pairs(vectors, id_col, vector_col, block, True).applyInArrow(compare, f"id1 {kind}, id2 {kind}, score double")
+    kind = vectors.schema[id_col].dataType
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, alone = _sides(batches), key[0].as_py() == key[1].as_py()
+        if len(sides) == 2 or alone:
+            (a, x), (b, y) = sides[0], sides[-1]
+            for at, scores in _stripes(x, y, digits):
+                i, j = np.nonzero(scores >= threshold)
+                score, one, two = scores[i, j], a[at + i], b[j]
+                if alone:
+                    keep = one < two
+                    score, one, two = score[keep], one[keep], two[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two), ids), pa.array(np.maximum(one, two), ids), pa.array(score)], ["id1", "id2", "score"])
+
+    ids = to_arrow_type(kind)
+    return _block_pairs(vectors, id_col, vector_col, block).applyInArrow(compare, f"id1 {kind.simpleString()}, id2 {kind.simpleString()}, score double")
 
 
 def nearest(
-    vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int = 8192
+    vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int | None = None
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the ``k`` rows of largest rounded cosine to each row, ties to the smaller id."""
-    kind = vectors.schema[id_col].dataType.simpleString()
+    kind = vectors.schema[id_col].dataType
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": left["id"].slice(0, 0), "id": left["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        other, b = _unit(right["v"]).T, right["id"].to_numpy()
-        return pa.concat_tables([best_of(left.slice(at, STRIPE), other, b) for at in range(0, left.num_rows, STRIPE)])
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, alone = _sides(batches), key[0].as_py() == key[1].as_py()
+        ways = [(sides[0], sides[0])] if alone else [sides, sides[::-1]] if len(sides) == 2 else []
+        for (a, x), (b, y) in ways:
+            for at, scores in _stripes(x, y, digits):
+                yield best_of(a[at : at + len(scores)], b, scores)
 
-    def best_of(left: pa.Table, other: np.ndarray, b: np.ndarray) -> pa.Table:
-        scores, a = np.round(_unit(left["v"]) @ other, digits), left["id"].to_numpy()
+    def best_of(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
         scores[a[:, None] == b] = -np.inf
         if k < scores.shape[1]:
             kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
@@ -99,9 +120,10 @@ def nearest(
         i, j = i[best], j[best]
         keep = np.arange(len(i)) - np.searchsorted(i, i) < k
         i, j = i[keep], j[keep]
-        return pa.table({"query_id": a[i], "id": b[j], "score": scores[i, j]})
+        return pa.RecordBatch.from_arrays([pa.array(a[i], ids), pa.array(b[j], ids), pa.array(scores[i, j])], ["query_id", "id", "score"])
 
-    hits = _block_pairs(vectors, id_col, vector_col, block, False).applyInArrow(compare, f"query_id {kind}, id {kind}, score double")
+    ids = to_arrow_type(kind)
+    hits = _block_pairs(vectors, id_col, vector_col, block).applyInArrow(compare, f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

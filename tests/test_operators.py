@@ -238,6 +238,16 @@ def test_large_blocks_are_scored_in_stripes(spark):
     assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if abs(angle[i] - angle[j]) < 0.0012} and stripe < n
 
 
+def test_a_row_is_sent_for_a_fixed_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LEAST", 5)
+    for n in (80, 320):
+        rows = spark.createDataFrame([(i, [math.cos(i * 0.7), math.sin(i * 0.7), 0.01 * i]) for i in range(n)], "vec_id int, embedding array<float>")
+        groups = {(r.a, r.b): r["count"] for r in similarity._block_pairs(rows, "vec_id", "embedding", None).count().collect()}
+        assert sum(groups.values()) == similarity.BLOCKS * n and len(groups) == similarity.BLOCKS * (similarity.BLOCKS + 1) // 2
+        for ask in (lambda block, rows=rows: similarity.similar_pairs(rows, 0.9, block=block), lambda block, rows=rows: similarity.nearest(rows, 3, block=block)):
+            assert sorted(map(tuple, ask(None).collect())) == sorted(map(tuple, ask(1000).collect())) != []
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, "x")], "node string, seq int, v string")
     assert mapped(store.upsert(rows, ["node"], "seq"), "node", "v") == {"f": "new", "g": "x"}
