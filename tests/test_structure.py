@@ -238,6 +238,38 @@ def test_shares_of_long_spans_need_no_row_for_each_run(spark):
     assert share([("a", "b", "II", 0, 0, 2_000_000_000)])[0].similarity > 1  # one row, however long
 
 
+def test_spans_around_a_usual_run_are_whole(spark):
+    usual = [[f"{w}{c}" for c in ("amo", "bel", "cid", "dun")] for w in "pqrstu"]
+    own = lambda i, n: " ".join(f"{'klmnv'[i % 5]}{'abcdefghij'[j % 10] * (j // 10 + 1)}{'w' * (i // 5)}" for j in range(n))
+    files = {f"u{i}": " ".join(f"{own(i, j + 3)} {' '.join(u)}" for j, u in enumerate(usual)) for i in range(8)}  # four tokens, in more than five files
+    for i, u in enumerate(usual * 4):
+        files |= {f"{side}{i:02}": f"{side * 3} x{'y' * i} {' '.join(u)} z{'y' * i} {side * 4}" for side in "gh"}  # six tokens, in two files
+    tokens = clones.token_files(spark.createDataFrame([*files.items()], "path string, text string"))
+    got = {tuple(r) for r in clones.clone_spans(tokens, k=4, window=3, most=5).collect()}
+    assert got == plain_spans(files, 4, 3) and {(g[0], g[1]) for g in got} >= {(f"g{i:02}", f"h{i:02}") for i in range(24)}
+
+
+def test_what_is_sent_for_spans_grows_with_the_files_not_their_meetings(spark):
+    rng = random.Random(3)
+    files = {f"f{i}": " ".join([f"w{'x' * i}", *(["la"] * 120), *(rng.choice(["Lo", "lo"]) for _ in range(80)), f"v{'x' * i}"]) for i in range(6)}  # 15 pairs meet about 400,000 times
+    tokens = clones.token_files(spark.createDataFrame([*files.items()], "path string, text string"))
+    edges = clones._edges(tokens, 4, 3, spark.sparkContext.broadcast(clones._filters(tokens, 4, 3)))
+    assert edges.count() <= 202 * 6 and clones._by_block(edges, 200, 4).count() <= 202 * 6 * 4
+    spans = clones.clone_spans(tokens, k=4, window=3)
+    got = {tuple(r) for r in spans.collect()}
+    assert got == plain_spans(files, 4, 3) and {g[2] for g in got} == {"I", "II"}
+    both = [{tuple(r) for r in df.select("file1", "file2", "shared").collect()} for df in (clones.shared_runs(tokens, k=4, window=3), clones._covered(spans, 4))]
+    assert both[0] == both[1] and len(both[0]) == 15
+    pairs = [clones.clone_pairs(tokens, s, k=4, threshold=0.7).collect() for s in (spans, clones.shared_runs(tokens, k=4, window=3, threshold=0.7))]
+    assert sorted(pairs[0]) == sorted(pairs[1]) and len(pairs[0]) == 15
+
+
+def test_of_a_repeated_path_the_first_text_counts(spark):
+    rows = spark.createDataFrame([("a", "b c"), ("a", "A -- c"), ("b", ""), ("c", " "), ("d", "1\u00e9 - Z.9\nx")], "path string, text string")
+    got = {r.path: (r.raw, r.tokens) for r in clones.token_files(rows).collect()}
+    assert got == {"a": (["A", "--", "c"], ["a", "", "c"]), "b": ([], []), "c": ([], []), "d": (["1\u00e9", "-", "Z.9", "x"], ["0\u00e9", "", "z0", "x"])}
+
+
 def test_common_runs_become_classes_not_pairs(spark):
     header = "one two three four five six seven eight nine ten eleven twelve"
     table = spark.createDataFrame([(f"f{i:02}", f"{header} {' '.join(f'w{i}x{j}'.replace('0', 'o') + chr(97 + i) * (j + 1) for j in range(6))}") for i in range(20)], "path string, text string")
