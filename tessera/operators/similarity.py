@@ -23,6 +23,8 @@ from ..functions.vectors import cosine
 
 #: Rows of a block that are scored at a time, at most, and scores that are held at a time.
 STRIPE, SCORES = 1024, 2**23
+#: Columns of scores that are looked at together, by their largest alone at first.
+TOGETHER = 16
 #: Blocks, unless they would be smaller or larger than so many rows.
 BLOCKS, LEAST, MOST = 8, 8192, 65536
 
@@ -74,6 +76,65 @@ def _stripes(x: np.ndarray, other: np.ndarray, digits: int) -> Iterator[tuple[in
         yield at, np.round(x[at : at + rows] @ other.T, digits)
 
 
+def _first(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each row ``i``, ties to the smaller id."""
+    best = np.lexsort((ids, -scores, i))
+    return best[np.arange(len(i)) - np.searchsorted(i[best], i[best]) < k]
+
+
+def _best(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids ``a``, ids ``b`` and rounded cosines of the ``k`` rows of ``y`` nearest to each row of ``x``, a few rows at a time.
+
+    Scores in single precision choose what is scored in double precision: whatever may be among the best, with their error and
+    the rounding as margin.  Rows for which that is much, or whose id repeats, are scored in double precision as a whole.
+    """
+    plain = np.arange(len(x))
+    if len(y) >= 4 * TOGETHER * (k + 1):
+        rest = []
+        for at, found in _likely(x, y, k, digits):
+            i, j, alike = found
+            score, other = np.round(np.einsum("ij,ij->i", x[at + i], y[j]), digits), a[at + i] != b[j]
+            n = len(alike)
+            whole = alike | (np.bincount(i, ~other, n) > 1) | (np.bincount(i, other, n) < k)
+            rest.append(at + np.flatnonzero(whole))
+            keep = other & ~whole[i]
+            i, j, score = i[keep], j[keep], score[keep]
+            first = _first(i, b[j], score, k)
+            yield a[at + i[first]], b[j[first]], score[first]
+        plain = np.concatenate(rest) if rest else plain
+    own, left = a[plain], x[plain]
+    for at, scores in _stripes(left, y, digits):
+        asked = own[at : at + len(scores)]
+        scores[asked[:, None] == b] = -np.inf
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if k < scores.shape[1] else -np.inf
+        i, j = np.nonzero((scores >= kth) & (scores > -np.inf))
+        first = _first(i, b[j], scores[i, j], k)
+        i, j = i[first], j[first]
+        yield asked[i], b[j], scores[i, j]
+
+
+def _likely(x: np.ndarray, y: np.ndarray, k: int, digits: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Where a few rows of ``x`` begin; their pairs with rows of ``y`` that may be among the ``k`` best, and which rows have too many to list.
+
+    Columns are looked at by the largest of ``TOGETHER`` first: the largest but ``k`` of these is no more than the score at rank ``k`` without the row itself.
+    """
+    few, n = x.astype(np.float32), len(y) // TOGETHER
+    many, margin = y.astype(np.float32).T.copy(), 2 * (x.shape[1] + 8) * 2.0**-24 + 10.0**-digits
+    rows, steps = max(1, min(STRIPE, SCORES // len(y))), np.arange(TOGETHER) * n
+    for at in range(0, len(x), rows):
+        scores = few[at : at + rows] @ many
+        tops = np.concatenate([scores[:, : n * TOGETHER].reshape(len(scores), TOGETHER, n).max(axis=1), scores[:, n * TOGETHER :]], axis=1)
+        least = np.partition(tops, tops.shape[1] - k - 1, axis=1)[:, -k - 1] - np.float32(margin)
+        i, group = np.nonzero(tops >= least[:, None])
+        alike = np.bincount(i, minlength=len(scores)) > 8 * (k + 1)
+        i, group = i[~alike[i]], group[~alike[i]]
+        inside = group < n
+        j = np.concatenate([(group[inside, None] + steps).ravel(), group[~inside] - n + n * TOGETHER])
+        i = np.concatenate([np.repeat(i[inside], TOGETHER), i[~inside]])
+        keep = scores[i, j] >= least[i]
+        yield at, (i[keep], j[keep], alike)
+
+
 def similar_pairs(
     vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, block: int | None = None
 ) -> DataFrame:
@@ -106,21 +167,8 @@ def nearest(
         sides, alone = _sides(batches), key[0].as_py() == key[1].as_py()
         ways = [(sides[0], sides[0])] if alone else [sides, sides[::-1]] if len(sides) == 2 else []
         for (a, x), (b, y) in ways:
-            for at, scores in _stripes(x, y, digits):
-                yield best_of(a[at : at + len(scores)], b, scores)
-
-    def best_of(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-        scores[a[:, None] == b] = -np.inf
-        if k < scores.shape[1]:
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero((scores >= kth) & (scores > -np.inf))
-        else:
-            i, j = np.nonzero(scores > -np.inf)
-        best = np.lexsort((b[j], -scores[i, j], i))
-        i, j = i[best], j[best]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[keep], j[keep]
-        return pa.RecordBatch.from_arrays([pa.array(a[i], ids), pa.array(b[j], ids), pa.array(scores[i, j])], ["query_id", "id", "score"])
+            for one, two, score in _best(a, x, b, y, k, digits):
+                yield pa.RecordBatch.from_arrays([pa.array(one, ids), pa.array(two, ids), pa.array(score)], ["query_id", "id", "score"])
 
     ids = to_arrow_type(kind)
     hits = _block_pairs(vectors, id_col, vector_col, block).applyInArrow(compare, f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")

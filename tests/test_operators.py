@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +497,29 @@ def test_features_of_trees(spark):
     rows = [('["binary_op",{"category":"boolean","operator":"and"}]',), ('["binary_op",{"operator":"<<"}]',), ('["child_spec",{"module":"M"}]',), ('["container",{"container_type":"fsm","name":"N"}]',), ('["lambda",{}]',), ("text",)]
     got = [r.f for r in spark.createDataFrame(rows, "t string").select(equivalence.features(F.col("t")).alias("f")).collect()]
     assert got == [["boolean", "logic", "and"], ["operation", "<<"], ["child_spec", "supervision", "otp", "worker", "M"], ["container", "N", "state_machine", "fsm", "transitions"], ["lambda", "function", "closure", "anonymous"], ["code", "construct"]]
+
+
+def test_nearest_rows_are_chosen_in_single_precision_and_scored_in_double(monkeypatch):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(3500, 24))
+    y[200:260] = y[200] * rng.uniform(1, 2, (60, 1))  # more ties than are asked for
+    y[300:304] = y[300] + rng.normal(size=(4, 24)) * 1e-7  # apart only in double precision
+    y[400:403] = 0
+    ids = np.arange(3500) * 3
+    ids[500:503] = ids[500]
+    y = np.divide(y, size := np.sqrt((y * y).sum(axis=1, keepdims=True)), out=np.zeros_like(y), where=size > 0)
+    whole, stripes = [], similarity._stripes
+
+    def counted(x, other, digits):
+        whole.append(len(x))
+        return stripes(x, other, digits)
+
+    monkeypatch.setattr(similarity, "_stripes", counted)
+    for digits in (6, 9):
+        got = [np.concatenate(part) for part in zip(*similarity._best(ids[:900], y[:900], ids, y, 4, digits), strict=True)]
+        scores = np.round(y[:900] @ y.T, digits)
+        scores[ids[:900, None] == ids] = -np.inf
+        best = np.array([np.lexsort((ids, -row))[:4] for row in scores])
+        want = [(ids[i], ids[j], round(scores[i, j], digits)) for i, row in enumerate(best) for j in row]
+        assert sorted((a, b, round(c, digits)) for a, b, c in zip(*got, strict=True)) == sorted(want)
+        assert 60 <= whole.pop() < 100  # the ties, zeros and repeated ids; all others by a few candidates
